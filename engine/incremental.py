@@ -1,0 +1,75 @@
+"""p2: what each successful run has to process."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+def successful_runs(runs: DataFrame) -> DataFrame:
+    """run_id, prev_run (0 before the first): runs whose latest status is succeeded."""
+    latest = runs.groupBy("run_id").agg(F.max_by("status", "recorded_at").alias("status"))
+    return latest.where("status = 'succeeded'").select(
+        "run_id", F.coalesce(F.lag("run_id").over(Window.orderBy("run_id")), F.lit(0)).alias("prev_run")
+    )
+
+
+def file_changes(inventory: DataFrame, runs: DataFrame) -> DataFrame:
+    """A run's inventory against that of the successful run before; each row is joined once as its own run and once as the next run's past."""
+    files = inventory.groupBy("run_id", F.translate("relative_path", "\\", "/").alias("record_key")).agg(
+        F.max_by(F.lower("sha256"), "recorded_at").alias("sha")
+    )
+    now = files.join(F.broadcast(runs), "run_id").select("run_id", "record_key", "sha", F.lit(1).alias("now"))
+    then = files.join(F.broadcast(runs.select(F.col("run_id").alias("next_run"), F.col("prev_run").alias("run_id"))), "run_id").select(
+        F.col("next_run").alias("run_id"), "record_key", "sha", F.lit(0).alias("now")
+    )
+    both = now.union(then).groupBy("run_id", "record_key").agg(
+        F.max("now").alias("here"),
+        F.min("now").alias("only_here"),
+        F.max_by("sha", "now").alias("sha"),
+        F.min_by("sha", "now").alias("old_sha"),
+    )
+    kind = F.when(F.col("here") == 0, "deleted").when(F.col("only_here") == 1, "added").when(~F.col("sha").eqNullSafe(F.col("old_sha")), "modified")
+    return both.select("run_id", F.lit("file").alias("record_type"), "record_key", kind.alias("kind")).where("kind is not null")
+
+
+def chunk_changes(chunks: DataFrame, runs: DataFrame) -> DataFrame:
+    """Of the deliveries since the successful run before, the last one of each id, against the last one taken earlier."""
+    rows = chunks.select(
+        F.col("id").alias("record_key"), F.col("run_id").alias("row_run"), "delivered_at", F.lower(F.coalesce("content_sha256", F.sha2("content", 256))).alias("sha")
+    )
+    taken = (
+        rows.join(F.broadcast(runs), (F.col("row_run") > F.col("prev_run")) & (F.col("row_run") <= F.col("run_id")))
+        .groupBy("record_key", "run_id")
+        .agg(F.max_by("sha", F.struct("row_run", "delivered_at")).alias("sha"))
+    )
+    before = Window.partitionBy("record_key").orderBy("run_id")
+    seen = taken.withColumns({"old_sha": F.lag("sha").over(before), "n": F.row_number().over(before)})
+    kind = F.when(F.col("n") == 1, "added").when(~F.col("sha").eqNullSafe(F.col("old_sha")), "modified")
+    return seen.select("run_id", F.lit("chunk").alias("record_type"), "record_key", kind.alias("kind")).where("kind is not null")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    runs = successful_runs(read("index_runs"))
+    return file_changes(read("project_inventory"), runs).unionByName(chunk_changes(read("chunks"), runs))
+
+
+P2_SQL = """
+WITH runs AS (
+  SELECT run_id, coalesce(lag(run_id) OVER (ORDER BY run_id), 0) AS prev_run
+  FROM (SELECT run_id, arg_max(status, recorded_at) AS status FROM index_runs GROUP BY run_id) WHERE status = 'succeeded'
+), files AS (
+  SELECT run_id, replace(relative_path, '\\', '/') AS k, arg_max(lower(sha256), recorded_at) AS sha FROM project_inventory GROUP BY ALL
+), a AS (SELECT r.run_id, k, sha FROM files f JOIN runs r ON f.run_id = r.run_id
+), b AS (SELECT r.run_id, k, sha FROM files f JOIN runs r ON f.run_id = r.prev_run
+), c AS (
+  SELECT r.run_id, c.id AS k, arg_max(lower(coalesce(content_sha256, sha256(content))), (c.run_id, delivered_at)) AS sha
+  FROM chunks c JOIN runs r ON c.run_id > r.prev_run AND c.run_id <= r.run_id GROUP BY ALL
+), d AS (SELECT *, row_number() OVER w AS n, lag(sha) OVER w AS old FROM c WINDOW w AS (PARTITION BY k ORDER BY run_id))
+SELECT coalesce(a.run_id, b.run_id) AS run_id, 'file' AS record_type, coalesce(a.k, b.k) AS record_key,
+  CASE WHEN b.k IS NULL THEN 'added' WHEN a.k IS NULL THEN 'deleted' ELSE 'modified' END AS kind
+FROM a FULL JOIN b ON a.run_id = b.run_id AND a.k = b.k WHERE a.sha IS DISTINCT FROM b.sha
+UNION ALL
+SELECT run_id, 'chunk', k, CASE WHEN n = 1 THEN 'added' ELSE 'modified' END FROM d WHERE n = 1 OR sha IS DISTINCT FROM old
+"""
