@@ -1,0 +1,78 @@
+"""p4: the most similar other vectors of each vector, exactly."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+DIM, NEAREST, LEAST, BLOCK = 128, 10, 0.72, 1024
+#: Products of matrices differ from the cosine by less; what lies so near a limit is computed again.
+SLACK = 1e-9
+
+
+def near(a: np.ndarray, b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row of a, the NEAREST rows of b that reach LEAST; s: the cosines, nearly. Rounded, so that copies of a vector tie at any scale."""
+    keep = s >= LEAST - SLACK
+    if s.shape[1] > NEAREST:
+        keep &= s >= np.partition(s, -NEAREST, axis=1)[:, -NEAREST, None] - SLACK
+    r, c = np.nonzero(keep & (ids_a[:, None] != ids_b[None, :]))
+    cos = np.concatenate([np.zeros(0), *((a[r[i : i + 50_000]] * b[c[i : i + 50_000]]).sum(axis=1) for i in range(0, len(r), 50_000))]).round(12)
+    order = np.lexsort((ids_b[c], -cos, r))
+    r, c, cos = r[order], c[order], cos[order]
+    first = np.searchsorted(r, r)
+    keep = (np.arange(len(r)) - first < NEAREST) & (cos >= LEAST)
+    return ids_a[r[keep]], ids_b[c[keep]], cos[keep]
+
+
+def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Both directions of each pair of blocks."""
+
+    def block(x: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+        rows = x.values
+        v = rows.field("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, DIM)
+        v /= np.abs(v).max(axis=1, keepdims=True)
+        return rows.field("vec_id").to_numpy(), v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            x, y = batch.column("left_id")[i].as_py(), batch.column("right_id")[i].as_py()
+            ids_a, a = block(batch.column("left")[i])
+            ids_b, b = block(batch.column("right")[i])
+            s = a @ b.T
+            # a vector itself is one of its own block, and mustn't take a place
+            s[ids_a[:, None] == ids_b[None, :]] = -2
+            found = [near(a, b, ids_a, ids_b, s)] + ([near(b, a, ids_b, ids_a, s.T)] if x != y else [])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*found, strict=True)], names=["vec_id", "other", "cos"])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/chunk_vectors.parquet").select("vec_id", "vector")
+    whole = table.where(
+        (F.size("vector") == DIM)
+        & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        & F.exists("vector", lambda x: x != 0)
+    )
+    n = max(1, -(-table.count() // BLOCK))
+    parts = min(n, 12)
+    blocks = whole.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("id")).agg(F.collect_list(F.struct("vec_id", "vector")).alias("rows")).repartition(parts, "id")
+    left, right = (blocks.select(F.col("id").alias(f"{x}_id"), F.col("rows").alias(x)) for x in ("left", "right"))
+    pairs = left.crossJoin(right).where("left_id <= right_id")
+    near_ones = pairs.mapInArrow(compare, "vec_id long, other long, cos double")
+    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("cos"), "other"))
+    best = near_ones.withColumn("n", rank).where(F.col("n") <= NEAREST)
+    return best.select(F.least("vec_id", "other").alias("vec_id_a"), F.greatest("vec_id", "other").alias("vec_id_b")).distinct()
+
+
+P4_SQL = """
+WITH v AS (
+  SELECT vec_id, vector::DOUBLE[] AS x FROM chunk_vectors
+  WHERE len(vector) = 128 AND len(list_filter(vector, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0 AND len(list_filter(vector, lambda e: e <> 0)) > 0
+), pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.x, b.x), 12) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id
+), best AS (SELECT a, b FROM pairs WHERE c >= 0.72 QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 10)
+SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM best
+"""

@@ -1,0 +1,19 @@
+import numpy as np
+
+from engine import neighbours
+
+
+def test_every_pair_of_blocks_counts_and_bad_vectors_do_not(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(1)
+    v = np.repeat(rng.normal(size=(6, 128)), 15, axis=0) + 0.4 * rng.normal(size=(90, 128))
+    v[7], v[8] = v[6] * 3, v[6] * 5
+    rows = [(i, x.astype(np.float32).tolist()) for i, x in enumerate(v)]
+    bad = [(900, None), (901, []), (902, [0.0] * 128), (903, [float("nan")] * 128), (904, rows[0][1][:127]), (905, [None, *rows[0][1][1:]])]
+    spark.createDataFrame(rows + bad, "vec_id long, vector array<float>").write.parquet(f"{tmp_path}/chunk_vectors.parquet")
+    x = np.array([r[1] for r in rows], np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = (x @ x.T).round(12)
+    best = {i: sorted((-s[i, j], j) for j in range(90) if j != i and s[i, j] >= 0.72)[:10] for i in range(90)}
+    expected = {(min(i, j), max(i, j)) for i, near in best.items() for _, j in near}
+    monkeypatch.setattr(neighbours, "BLOCK", 20)
+    assert {tuple(r) for r in neighbours.p4_found(spark, str(tmp_path)).collect()} == expected
