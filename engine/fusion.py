@@ -1,0 +1,33 @@
+"""p6: one ranking out of four scores on unlike scales."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+#: Each of the four as a value of which higher is better.
+SCORES = {"score": F.col, "dense_rank": lambda c: -F.col(c), "sparse_rank": lambda c: -F.col(c), "fusion_score": F.col}
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least sum of the four places within the query; equal values share the mean of their places, those not found stand last."""
+    rows = spark.read.parquet(f"{sf_dir}/retrieval_results.parquet").select("query_id", "chunk_id", *SCORES)
+    one = rows.groupBy("query_id", "chunk_id").agg(*[F.max(value(c)).alias(c) for c, value in SCORES.items()])
+    place = lambda c: F.rank().over(Window.partitionBy("query_id").orderBy(F.col(c).desc_nulls_last())) * 2 + F.count("*").over(Window.partitionBy("query_id", c))
+    placed = one.select("query_id", "chunk_id", sum((place(c) for c in SCORES), F.lit(0)).alias("places"))
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy("places", "chunk_id"))
+    return placed.withColumn("n", best).where("n <= 3").select("query_id", "chunk_id")
+
+
+P6_SQL = """
+WITH one AS (
+  SELECT query_id, chunk_id, max(score) AS s, max(-dense_rank) AS d, max(-sparse_rank) AS p, max(fusion_score) AS f FROM retrieval_results GROUP BY ALL
+), placed AS (
+  SELECT query_id, chunk_id,
+    2 * (rank() OVER (PARTITION BY query_id ORDER BY s DESC NULLS LAST) + rank() OVER (PARTITION BY query_id ORDER BY d DESC NULLS LAST)
+      + rank() OVER (PARTITION BY query_id ORDER BY p DESC NULLS LAST) + rank() OVER (PARTITION BY query_id ORDER BY f DESC NULLS LAST))
+    + count(*) OVER (PARTITION BY query_id, s) + count(*) OVER (PARTITION BY query_id, d)
+    + count(*) OVER (PARTITION BY query_id, p) + count(*) OVER (PARTITION BY query_id, f) AS places
+  FROM one)
+SELECT query_id, chunk_id FROM placed QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY places, chunk_id) <= 3
+"""

@@ -1,0 +1,7 @@
+from engine.fusion import p6_found
+
+
+def test_scale_and_outliers_do_not_weigh(spark, tmp_path):
+    rows = [(1, "outlier", 1e9, 9, 9, 0.1), (1, "best", 3.0, 1, 1, 0.9), (1, "second", 2.0, 2, 2, 0.8), (1, "third", 1.0, 3, 3, 0.7), (1, "fourth", 0.5, 4, 4, 0.6), (1, "unfound", 0.1, None, None, None), (2, "only", -5.0, None, 1, None)]
+    spark.createDataFrame(rows + rows[:1] * 5, "query_id long, chunk_id string, score double, dense_rank int, sparse_rank int, fusion_score double").write.parquet(f"{tmp_path}/retrieval_results.parquet")
+    assert {tuple(r) for r in p6_found(spark, str(tmp_path)).collect()} == {(1, "best"), (1, "second"), (1, "third"), (2, "only")}
