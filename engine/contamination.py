@@ -1,0 +1,53 @@
+"""p9: documents that hold passages of held-out items."""
+
+from __future__ import annotations
+
+import html
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+WORDS = 12
+TAG = re.compile(r"</?[a-z][^<>]{0,200}>")
+NUMBERED = re.compile(r"^\s*\d+[.)]\s+", re.MULTILINE)
+#: Characters that show nothing and are no format characters (Cf).
+INVISIBLE = re.compile("[͏︀-️ᅟᅠ឴឵ㅤ]")
+
+
+def words(text: str) -> list[str]:
+    """Lower-case words without punctuation, white space, tags, emphasis marks, invisible characters and compatibility forms."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", INVISIBLE.sub("", "".join(c for c in text if unicodedata.category(c) != "Cf")))
+    text = TAG.sub("", html.unescape(text.casefold()))
+    return re.findall(r"[^\W_]+", re.sub(r"[*_~`]", "", text))
+
+
+def passages(text: str | None) -> set[str]:
+    w = words(text or "")
+    return {" ".join(w[i : i + WORDS]) for i in range(len(w) - WORDS + 1)}
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items are a fixed table, so all their runs of WORDS words go to each task; each document is read once."""
+    items: dict[str, set[int]] = {}
+    for item_id, *texts in spark.read.parquet(f"{sf_dir}/benchmark_cases.parquet").select("item_id", "query_text", "reference_text").collect():
+        for passage in set().union(*map(passages, texts)):
+            items.setdefault(passage, set()).add(item_id)
+    shared = spark.sparkContext.broadcast(items)
+
+    def leaks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        for batch in batches:
+            found = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                # a number at the head of a line is its prefix or one of the words
+                texts = [text, NUMBERED.sub("", text)] if NUMBERED.search(text) else [text]
+                hit = set().union(*(known[p] for x in texts for p in passages(x) if p in known))
+                found += [(item_id, doc_id) for item_id in hit]
+            yield pd.DataFrame(found, columns=["item_id", "doc_id"])
+
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("text is not null")
+    return documents.mapInPandas(leaks, "item_id long, doc_id long")

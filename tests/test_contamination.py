@@ -1,0 +1,15 @@
+from engine.contamination import p9_found
+
+QUERY = "one two three four five six seven eight nine ten eleven twelve thirteen"
+
+
+def test_disguised_passages(spark, tmp_path):
+    spark.createDataFrame([(1, QUERY, None), (2, "other", f"Prefix words; {QUERY}!"), (3, "too short", "one two")], "item_id long, query_text string, reference_text string").write.parquet(f"{tmp_path}/benchmark_cases.parquet")
+    docs = [
+        (10, "> ONE, two\r\n> three **four** _five_ <em>six</em> se​ven\n// eight ｎｉｎｅ `ten`\n1. eleven twelve"),
+        (11, "one two three four five six seven eight nine ten eleven"),
+        (12, "one two three four five six sevenish eight nine ten eleven twelve thirteen"),
+        (13, None), (14, ""),
+    ]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in p9_found(spark, str(tmp_path)).collect()} == {(1, 10), (2, 10)}
