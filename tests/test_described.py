@@ -1,0 +1,30 @@
+from engine.described import described, p3_found
+
+EARNEST = """/** Walks every entry of the cache and drops the stale ones. */
+UFUNCTION(BlueprintPure, meta = (DisplayName = "Item (fast)"))
+template <typename T, typename U = TArray<T>>
+static FVector FPanel::Walk(FString InName,
+\t\tTArray<int> InList) const
+{
+\tLog(TEXT("/** Not a comment of any function */"));
+\t// keep sparse buffers in step
+\tHelper(3);
+}
+"""
+
+
+def test_earnest_comments():
+    assert described(EARNEST) == described(EARNEST.replace("\n", "\r\n")) == {"Walk"}
+    assert described("class FOwner\n{\npublic:\n\t// 遍历系统中的全部条目\n\tFOwner();\n\n\t//----\n\t// Frees the memory of all rigs.\n\t//----\n\tvirtual ~FOwner();\n};") == {"FOwner", "~FOwner"}
+
+
+def test_trivial_comments():
+    for comment in ("/** Walk */", "// Walk the\n// list", "//----------", "/** TODO: document this function later on please */", "/**\n * @param InA\n * @param InB\n * @see FOther\n */", "/** @inheritdoc */",
+                    "// Copyright Foundry. All rights reserved. Use is subject to the licence.", "/* if (bOn) { Mover.Reset(); return 9; } */", "// Cache->Rebuild(14);\n// Cache->Flush(15, true);", "// 释放", "// Walks every entry of the cache.\n"):
+        assert not described(f"{comment}\nvoid Walk(int A);"), comment
+
+
+def test_all_rows_of_a_chunk(spark, tmp_path):
+    rows = [("a", "engine_source", EARNEST, 1), ("a", "engine_source", EARNEST.replace("Walk(", "Run("), 2), ("b", "docs", EARNEST, 1), ("c", "project_source", None, 1)]
+    spark.createDataFrame(rows, "id string, source_type string, content string, run_id int").write.parquet(f"{tmp_path}/chunks.parquet")
+    assert {tuple(r) for r in p3_found(spark, str(tmp_path)).collect()} == {("a", "Walk"), ("a", "Run")}
