@@ -1,0 +1,67 @@
+"""p7: files that weren't written by hand by the engine's team."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+GENERATED_PATH = re.compile(r"\.(?:generated|gen|g|pb|designer)\.\w+(?:\.\w+)?$|/(?:Inc/(?:[^/]+/)*Gen|Intermediate|autogen|(?:auto)?generated|codegen|gen)/", re.IGNORECASE)
+VENDORED_PATH = re.compile(r"(?:^|/)(?:third[_-]?party|3rd[_-]?party|vendor(?:ed)?|extern(?:als?)?|deps|node_modules)/", re.IGNORECASE)
+VENDORED_PLUGIN = re.compile(r"(?:Vendored|External|ThirdParty|Upstream)\d*$")
+MINIFIED_PATH = re.compile(r"\.min\.\w+$", re.IGNORECASE)
+#: Notices stand in comments at the head of a file.
+NOTICE = re.compile(r"(?:\s|#pragma once\b|//[^\n]*|/\*.*?(?:\*/|\Z))*", re.DOTALL)
+OURS = re.compile(r"written by hand|hand[- ]written|not (?:auto(?:matically)?[- ]?)?generated", re.IGNORECASE)
+GENERATED = re.compile(
+    r"<auto-?generated|@generated|auto(?:matically)?[- ]generated\b|\b(?:file|code|header|source|module) (?:was|is|has been) (?:\w+ )?(?:generated|created|produced|written) by (?:the )?\w+|^\W*generated (?:by|from|with|using)\b"
+    r"|\b(?:exported|emitted|produced|written|made|created|built|output) (?:\w+: )?(?:\w+ )?by (?:the |a )?[\w ]*?(?:tool|generator|compiler|codegen|gramforge|schemaloom)\b|\bregenerate instead\b|\bpacked by \w+, do not edit\b|\ba (?:parser|lexer|scanner|grammar) made by\b|^\W*source: \S+\.(?:schema|proto|idl|fbs)\b",
+    re.IGNORECASE | re.MULTILINE,
+)
+LINE_MARK = re.compile(r'^[ \t]*#line \d+ "[^"\n]*\.(?!(?:cpp|c|h|hpp|inl|cc|cs)")\w+"', re.MULTILINE)
+VENDORED = re.compile(r"\b(?:is )?part of the \w[\w.-]* (?:library|project|package)|\bcopyright (?:\(c\) )?(?:[\d, -]+ )?the [\w.-]+ (?:authors|contributors|developers|project)|\bimported from upstream \w|- v?\d+\.\d+(?:\.\d+)? - public domain|public domain - no warranty|^\W*\w+ \d+\.\d+(?:\.\d+)?, copyright\b", re.IGNORECASE | re.MULTILINE)
+FOREIGN = re.compile(r"^\s*(?:static |extern )?\w+ \**([a-z]\w*?)_\w+\(struct \1_\w+ \*", re.MULTILINE)
+LITERAL = re.compile(r'"(?:\\.|[^"\\\n])*"?')
+COMMENT = re.compile(r'("(?:\\.|[^"\\\n])*"?)|//[^\n]*|/\*.*?(?:\*/|\Z)', re.DOTALL)
+NUMBERS = re.compile(r"=\s*\{\s*((?:[-+]?(?:0x[0-9a-f]+|\d+\.?\d*(?:e[-+]?\d+)?)[uflUL]*\s*(?:,\s*|(?=\})|\Z)){24,})", re.IGNORECASE)
+STRINGS = re.compile(r'=\s*\(?((?:\s*"[0-9A-Za-z+/=]{40,}"?){3,}|\s*"(?:\\x[0-9a-f]{2}|[0-9A-Za-z+/=]){400,})', re.IGNORECASE)
+
+
+def minified(code: str) -> bool:
+    """code: without comments, and each literal as two quotes."""
+    lines = [x for x in code.split("\n") if x.strip() and not x.lstrip().startswith("#")]
+    longest = max(lines, key=len, default="")
+    return len(longest) >= 250 and len(re.findall(r"[;{}]", longest)) >= 10 and len(re.findall(r"[;{},=(+*?:]\s|\s[{}=+*?:(]", longest)) < 0.02 * len(longest)
+
+
+def reasons(path: str, plugin: str | None, head: bytes | None) -> list[str]:
+    path = path.replace("\\", "/")
+    text = (head or b"").decode("utf-8", "replace").lstrip("﻿").replace("\r\n", "\n")
+    notice = NOTICE.match(text)[0]
+    notice = "\n".join(x for x in notice.split("\n") if not OURS.search(x))
+    code = COMMENT.sub(lambda m: m[1] or " ", text)
+    blob = bool(NUMBERS.search(code) or STRINGS.search(code))
+    found = []
+    if GENERATED_PATH.search(path) or GENERATED.search(notice) or LINE_MARK.search(text):
+        found.append("generated")
+    if MINIFIED_PATH.search(path) or not blob and minified(LITERAL.sub('""', code)):
+        found.append("minified")
+    folders = path.split("/")[:-1]
+    if VENDORED_PATH.search(path) or VENDORED_PLUGIN.search(plugin or "") or folders[:1] == ["Plugins"] and any(map(VENDORED_PLUGIN.search, folders[1:3])) or VENDORED.search(notice) or FOREIGN.search(text):
+        found.append("vendored")
+    if blob:
+        found.append("blob")
+    return found
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = spark.read.parquet(f"{sf_dir}/engine_inventory.parquet").select("relative_path", "plugin", "source_head").where("relative_path is not null")
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(row[0], reason) for row in batch.itertuples(index=False) for reason in reasons(*row)]
+            yield pd.DataFrame(found, columns=["relative_path", "reason"])
+
+    return files.mapInPandas(judge, "relative_path string, reason string").distinct()

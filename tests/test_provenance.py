@@ -1,0 +1,33 @@
+import pytest
+
+from engine.provenance import p7_found, reasons
+
+OURS = b"// Copyright Foundry. All rights reserved.\n\n#include \"A.h\"\n\nvoid FA::Run()\n{\n\tB->Do(1);\n}\n"
+FILES = [
+    ("Source/A/Private/A.cpp", None, OURS, []),
+    ("Source/A/Private/A.gen.cpp", None, None, ["generated"]),
+    ("Source\\A\\Inc\\Gen\\A.h", None, OURS, ["generated"]),
+    ("Source/A/A.h", None, b"\xef\xbb\xbf// This file was generated by Loom. DO NOT EDIT.\n" + OURS, ["generated"]),
+    ("Source/A/A.h", None, b'#line 1 "A.gf"\nstatic void _rule_0(Ctx* c) { }\n', ["generated"]),
+    ("Source/A/GeneratedGeometry/CodeGeneratorA.h", None, b"// The lists are filled by code generated at cook time; this file itself is written by hand.\n" + OURS, []),
+    ("Source/A/A.h", None, OURS + b"// Do not edit these limits.\nstatic const int32 Limits[] = { 0x10, 0x20, 0x40, 0x80 };\n", []),
+    ("Source/A/A.h", None, b"struct a0{int b;float c(int d){return d*b+0.f;}};" * 20, ["minified"]),
+    ("Source/A/A.h", None, b'static const TCHAR* Banner = TEXT("' + b"Words; more, of them. " * 20 + b'");\n' + OURS, []),
+    ("Source/ThirdParty/lib-1.2/src/a.h", None, OURS, ["vendored"]),
+    ("Source/A/Private/ThirdPartyBridge/A.h", None, b"// Thin wrapper around lib; the library lives elsewhere.\n" + OURS, []),
+    ("Plugins/Bundled/LibUpstream00/Source/a.h", "LibUpstream00", b"/* Generated by autoprobe for lib. Do not modify */\n", ["generated", "vendored"]),
+    ("Source/A/A.h", None, b"/*\n * This file is part of the lib library, release 4.1.\n */\n", ["vendored"]),
+    ("Source/A/A.h", None, b"static const unsigned char D[] = {\n" + b"0x63, 0xad, 0xf7,\n" * 40, ["blob"]),
+    ("Source/A/A.h", None, b"const char* D =\n" + b'"b42c23d746049450395909717acd735ff09c77ade268"\n' * 9 + b'"b4', ["blob"]),
+]
+
+
+@pytest.mark.parametrize("path, plugin, head, expected", FILES)
+def test_reasons(path, plugin, head, expected):
+    assert reasons(path, plugin, head) == expected
+
+
+def test_doubled_rows_count_once(spark, tmp_path):
+    rows = [("Source/deps/a.gen.cpp", None, None), ("Source/deps/a.gen.cpp", None, bytearray(OURS)), ("Source/A/A.h", "A", bytearray(OURS))]
+    spark.createDataFrame(rows, "relative_path string, plugin string, source_head binary").write.parquet(f"{tmp_path}/engine_inventory.parquet")
+    assert sorted(map(tuple, p7_found(spark, str(tmp_path)).collect())) == [("Source/deps/a.gen.cpp", r) for r in ("generated", "vendored")]
