@@ -1,0 +1,70 @@
+"""p1: families of marks in the texts of source records."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+TAGS = (
+    "a abbr article aside b blockquote body br button caption center cite code col colgroup dd del details dfn div dl dt em figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label li link main mark meta"
+    " nav ol option p pre q s samp script section select small span strike strong style sub summary sup table tbody td textarea tfoot th thead title tr tt u ul var video wbr nowiki ref"
+)
+TAG = rf"</?(?:{'|'.join(TAGS.split())})(?:\s+[\w:-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s<>\"']+))?)*\s*/?>"
+#: Code blocks and spans, with the family of their own marks; what they hold is no mark.
+BLOCKS = [
+    ("markdown", re.compile(r"^[ >\t]*(`{3,}|~{3,})[^\n`]*\n.*?(?:^[ >\t]*\1[`~]*[ \t]*$|\Z)", re.DOTALL | re.MULTILINE)),
+    ("html", re.compile(r"<(pre|code|script|style|samp|kbd|tt)\b[^<>]*>.*?</\1\s*>", re.DOTALL | re.IGNORECASE)),
+    ("wiki", re.compile(r"<(nowiki|syntaxhighlight|source)\b[^<>]*>.*?</\1\s*>", re.DOTALL | re.IGNORECASE)),
+    ("wiki", re.compile(r"\{\{Code(?:Block|Start|Begin)?\b[^{}]*\}\}.*?\{\{Code(?:Block)?End\}\}", re.DOTALL | re.IGNORECASE)),
+    ("latex", re.compile(r"\\begin\{(verbatim\*?|lstlisting|minted|Verbatim|alltt)\}.*?\\end\{\1\}", re.DOTALL)),
+    ("latex", re.compile(r"\\(?:verb\*?|lstinline)([|!+/#@])[^\n]*?\1")),
+    ("markdown", re.compile(r"(?<![`\\])(`{1,2})(?![`\s])[^`\n]*?[^`\s]\1(?!`)")),
+]
+COMMANDS = (
+    "begin end section subsection subsubsection paragraph subparagraph chapter part title author maketitle item emph textbf textit texttt textsc textrm textsf underline href url cite citep citet ref eqref pageref label footnote caption"
+    " includegraphics frac dfrac sqrt sum prod int SI si num usepackage documentclass newcommand input include bibliography centering hline toprule midrule bottomrule LaTeX TeX ldots dots cdot times alpha beta gamma delta epsilon theta lambda mu pi sigma"
+    " omega infty leq geq neq approx le ge mathrm mathbf mathcal left right noindent par tableofcontents newline linebreak hspace vspace quad qquad tag text operatorname vec hat bar"
+)
+MARKS = {
+    "html": [rf"(?i:{TAG})", r"<!--", r"<!DOCTYPE\b", r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,9});"],
+    "markdown": [
+        r"(?m)^ {0,3}#{1,6}[ \t]+\S", r"(?m)^[^\s|=+*#>-][^\n]*\n {0,3}(?:={3,}|-{3,})[ \t]*$", r"(?<![\w*/\\])\*\*(?=[^\s*])[^*\n]*?[^\s*]\*\*(?![\w*])", r"(?<![\w*/\\])\*(?=[^\s*])[^*\n]*?[^\s*(,]\*(?![\w*/])",
+        r"(?<![\w])__(?=[^\s_])[^_\n]* [^_\n]*[^\s_]__(?!\w)", r"(?<![\w/\\.$])_(?=[^\W_])[^_\n]*?[^\W_][.,;:!?)]?_(?![\w/(.])", r"~~(?=[^\s~])[^~\n]*?[^\s~]~~", r"!?\[[^\]\[\n]*\]\((?:[^()\s]|\([^()\s]*\))+(?:\s+\"[^\"\n]*\")?\)",
+        r"(?<![\w\]])\[[^\]\[\n]*[A-Za-z][^\]\[\n]*\]\[[^\]\[\n]*\]", r"(?m)^ {0,3}\[[^\]\[\n]+\]:[ \t]+\S", r"(?m)^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*$", r"(?m)^ {0,3}>[ \t]+\S", r"(?m)^[ \t]*[-+][ \t]\S", r"(?m)^[ \t]*(?:`{3,}|~{3,})", r"(?m)^[ \t]*[-*+][ \t]\[[ xX]\][ \t]",
+    ],
+    "wiki": [r"\[\[(?!(?:nodiscard|maybe_unused|likely|unlikely|noreturn|fallthrough|deprecated|no_unique_address|carries_dependency|gnu::|clang::|msvc::|\w+\(|\s*\d|\s*-))[^\[\]\n]+\]\]", r"(?<![\w'(,=\[])'{2,5}(?=[^\s',;)])[^'\n]*(?:'[^'\n]+)*[^\s',]'{2,5}(?![\w'])", r"\{\{\s*#?[A-Za-z][^{}\"]*\}\}", r"(?m)^\{\|", r"(?m)^\|\}", r"(?m)^\|-+\s*$", r"(?m)^(={2,6})[ \t]*[^=\s][^\n]*?[^=\s]?[ \t]*\1[ \t]*$", r"(?<!\[)\[(?:https?|ftp)://\S+[^\]\n]*\](?!\()", r"__(?:TOC|NOTOC|FORCETOC|NOEDITSECTION)__", r"~{4,5}(?=\s|$)", r"(?i)#REDIRECT\s*\[\["],
+    "latex": [rf"(?<![\w:\\/.-])\\(?:{'|'.join(COMMANDS.split())})(?![A-Za-z])\*?(?!\\)(?:(?=[\[{{])|(?=[\s.,;:$^_)}}]|$))", r"\$\$[^$]+\$\$", r"(?<![\w$\\])\$(?=[^\s$\d]|\d[^$\n]*[\\^_=+])(?![A-Z_]+\b[^\\^=+$]*\$)[^$\n]{0,200}?[^\s$\\]\$(?![\w$])", r"\\\((?=[^\n]*?\\\))", r"(?m)\\\[[^\]]*\\\]"],
+}
+MARKS = {family: [re.compile(x) for x in patterns] for family, patterns in MARKS.items()}
+
+
+def families(text: str) -> dict[str, str]:
+    """Each family with one of its marks."""
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    found: dict[str, str] = {}
+    for family, block in BLOCKS:
+        if m := block.search(text):
+            found.setdefault(family, m[0][:80])
+            text = block.sub(lambda m: " " if "\n" not in m[0] else "\n \n", text)
+    for family, patterns in MARKS.items():
+        for pattern in patterns if family not in found else ():
+            if m := pattern.search(text):
+                found[family] = m[0][:80]
+                break
+    return found
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = spark.read.parquet(f"{sf_dir}/source_records.parquet")
+    fields = records.select("id", F.explode(F.create_map(F.lit("content"), "content", F.lit("title"), "title")).alias("field", "value")).where("value is not null").distinct()
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(i, field, family) for i, field, value in batch.itertuples(index=False) for family in families(value)]
+            yield pd.DataFrame(found, columns=["id", "field", "family"])
+
+    return fields.mapInPandas(judge, "id string, field string, family string").distinct()

@@ -1,0 +1,23 @@
+import pytest
+
+from engine.markup import families, p1_found
+
+CASES = [
+    ("<h1>Notes</h1>\n\n- plain", {"html", "markdown"}), ("a &amp; b", {"html"}), ("x <!-- y --> z", {"html"}), ("<A NAME=top>x", {"html"}),
+    ("```cpp\nif (a < b) { [[x]] <b> }\n```", {"markdown"}), ("<pre><code>**a** [[b]] \\emph{c}</code></pre>", {"html"}), ("Set `the` **limit** [guide](a.md)", {"markdown"}), ("Notes\n=====", {"markdown"}),
+    ("== Notes ==\n'''Bold''' [[Page|text]]", {"wiki"}), ("{{Since|5.2}}", {"wiki"}), ("{{CodeBlock|lang=cpp}}\n <b>x</b>\n{{CodeEnd}}", {"wiki"}),
+    ("\\section{Notes} in $O(n^2)$", {"latex"}), ("\\begin{verbatim}\n# a <b>\n\\end{verbatim}", {"latex"}), ("Time is $n^2$ and &mdash;", {"latex", "html"}),
+    ("* item\n| a | b |\n==\n• other", set()), ("Keep a < b && c > d. TArray<FHit> and TMap<FName, int32> work.", set()), ("The folder D:\\textures\\begin\\section; $5 per seat and $9 per host; $(ProjectDir) and $PATH", set()),
+    ("max_walk_speed_scale, x * y * z, *Actor, A = {1, 2} and {{0, 1}, {1, 0}}, #include order, [0, 1] (see below)", set()), ("FPanel* Item = Make();\nif (Item->Num() < 7) { Item->Reset(); }", set()),
+]
+
+
+@pytest.mark.parametrize("text, expected", CASES)
+def test_families(text, expected):
+    assert set(families(text)) == set(families(text.replace("\n", "\r\n"))) == expected
+
+
+def test_each_field_by_itself(spark, tmp_path):
+    rows = [("a", "<b>x</b> and **y**", "[[x]]"), ("a", "<b>x</b> and **y**", "[[x]]"), ("b", None, None), ("c", "plain", "== x ==")]
+    spark.createDataFrame(rows, "id string, content string, title string").write.parquet(f"{tmp_path}/source_records.parquet")
+    assert sorted(map(tuple, p1_found(spark, str(tmp_path)).collect())) == [("a", "content", "html"), ("a", "content", "markdown"), ("a", "title", "wiki"), ("c", "title", "wiki")]
