@@ -1,0 +1,105 @@
+"""p5: lines of dumped pages that belong to the site, not to the body."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Entries of menus, alone on a line or several of them with separators.
+MENU = set(
+    "home|documentation|docs|api reference|api|tutorials|downloads|download|pricing|marketplace|showcase|roadmap|forums|forum|community|support|blog|release notes|log in|login|sign in|sign up|register|search|menu|guides|news|about|about us|contact|careers|jobs|learn|products|solutions|features|store|shop|help|faq|account|my account|profile|partners|events|press|legal|more"
+    "|anmelden|anleitungen|startseite|suche|hilfe|dokumentation|herunterladen|registrieren|menü|preise|connexion|téléchargements|accueil|guide|aide|recherche|s'inscrire|tarifs|communauté|登录|首页|文档|下载|注册|搜索|论坛|社区|指南|教程|支持|博客|价格|菜单|帮助|inicio|documentación|descargas|guías|iniciar sesión|foro|ayuda|buscar".split("|")
+)
+LINES = re.compile(
+    "|".join(
+        r"""
+        (?:home|start|startseite|accueil|首页)\s*(?:[>›»/→]\s*[^>›»/→]+){1,8}
+        version\ v?[\d.]+\s*(?:\(latest\)|▾|▼|switch\ version|\(current\)|\(old\))?
+        (?:select|choose|switch)\ (?:language|version)\b.{0,60}
+        (?:english|deutsch|français|中文|español|日本語)(?:[\s|/·,]+(?:english|deutsch|français|中文|español|日本語))*
+        you\ are\ (?:reading|viewing|looking\ at)\ an?\ (?:old|older|outdated|archived)\ version.{0,60}
+        (?:this\ site|we|our\ site|our\ website|this\ website)\ (?:stores?|uses?)\ (?:small\ files|cookies)\b.{0,120}
+        .{0,40}cookie.{0,4}，.{0,40}
+        (?:ce\ site\ utilise\ des\ cookies|wir\ verwenden\ cookies|este\ sitio\ (?:usa|utiliza)\ cookies|utilizamos\ cookies)\b.{0,80}
+        (?:accept|allow|reject|decline)\ (?:all|only)(?:\ cookies)?
+        (?:accept|accept\ all|reject|reject\ all|settings)(?:\s*[|/·]\s*(?:accept|accept\ all|reject|reject\ all|settings|learn\ more))+
+        only\ necessary|cookie\ (?:preferences|settings|policy|notice)|manage\ (?:consent|cookies|preferences)|(?:your\ )?privacy\ (?:choices|policy|notice|settings)
+        essential\ (?:storage|cookies)\ (?:is|are)\ always\ on\b.{0,40}
+        skip\ to\ (?:main\ )?(?:content|navigation)|toggle\ (?:navigation|menu|sidebar)|search(?:\ (?:docs|documentation|the\ docs|this\ site|forum|\w+))?(?:\.\.\.|…)?
+        (?:send|give|leave)\ (?:us\ )?feedback\b.{0,30}|was\ this\ (?:page|article)\ (?:helpful|useful)\b.{0,30}|\d+\ (?:people|users|readers|of\ \d+)\ found\ this\ (?:useful|helpful)
+        (?:edit|print|share|bookmark|save|improve)\ this\ (?:page|article)|report\ (?:an?\ )?(?:issue|problem|error)\ (?:with|on)\ this\ page|view\ (?:page\ )?source
+        follow\ us\b.{0,30}|share\ (?:on|via)\ .{0,30}|copy\ link|(?:copy\ link|link|tweet|share|mail|e-?mail|embed|feed|rss|print)(?:(?:\s*[·|/,]\s*|\s{2,})(?:copy\ link|link|tweet|share|mail|e-?mail|embed|feed|rss|print))+
+        sign\ in\ to\ (?:comment|save|vote|reply|rate|bookmark)\b.{0,50}|(?:log|sign)\ in\ (?:with|using)\ .{0,30}|join\ the\ (?:discussion|conversation|community)|ask\ a\ question|top\ contributors|contact\ (?:us|support)|(?:\d+\ )?comments?(?:\ \(\d+\))?
+        subscribe\ to\ (?:our|the)\ newsletter\b.{0,30}|enter\ your\ e-?mail\b.{0,40}|join\ [\d,.]+\ (?:makers|developers|readers|subscribers)\b.{0,100}|get\ the\ app|get\ (?:updates|our\ newsletter)\b.{0,30}
+        advertisement|sponsored(?:\ content)?(?::.{0,100})?|hiring!.{0,100}|we(?:'|’)?\ ?a?re\ hiring\b.{0,80}|new\ course:.{0,100}|learn\ how\ studios\ ship\ faster\b.{0,100}|.{0,80}\bstart\ your\ free\ trial\b.{0,20}|.{0,80}\benrol\ now\b.{0,5}|.{0,60}\ \d+\ %\ off
+        (?:previous|next|prev|vorige|weiter|précédent|suivant|上一页|下一页)\s*[:：].{1,100}|[←‹«].{1,100}|.{1,100}[→›»]|trending:.{1,100}
+        last\ (?:build|updated?|modified|changed|edited|reviewed)\b.{0,60}|page\ id\ \d+|powered\ by\ .{1,40}|made\ with\ (?:care|love)\b.{0,60}|built\ with\ .{1,30}|status:\ all\ systems\b.{0,30}|back\ to\ (?:the\ )?top|site\ ?map|imprint|impressum
+        (?:terms\ of\ (?:use|service)|privacy\ policy|privacy|imprint|legal\ notice|cookies|terms|sitemap|contact)(?:\s*[·|/,•]\s*(?:terms\ of\ (?:use|service)|privacy\ policy|privacy|imprint|legal\ notice|cookies|terms|sitemap|contact))*
+        (?:©|\(c\)|copyright)\s*\d{4}.{0,100}|.{0,60}\ and\ its\ logo\ are\ trademarks\b.{0,60}|.{0,60}\ all\ rights\ reserved\.?
+        """.strip().replace("\n        ", "\n").split("\n")
+    ),
+    re.IGNORECASE | re.VERBOSE,
+)
+LISTS = re.compile(r"(?:on this page|in this (?:article|page|section)|(?:table of )?contents|related(?: articles| pages| topics| links)?|see also|popular(?: this week| articles| pages| now)?|recommended(?: for you| reading)?|you may also like|more articles|recent posts|trending(?: now)?|auf dieser seite|inhalt|本页内容|相关文章)\s*:?", re.IGNORECASE)
+TITLE = re.compile(r"(?:[-–*•▸]\s*|\d+(?:\.\d+)*[.)]?\s+)?[^.!?;:。|{}()=<>]*(?:\d+(?:\.\d+)+)?[^.!?;:。|{}()=<>]*")
+
+
+def plain(line: str) -> str:
+    return re.sub(r"^[\s\-–*•▸>+]+|[\s▾▼▸+]+$", "", line.replace("\xa0", " ")).strip()
+
+
+def is_title(line: str) -> bool:
+    x = line.strip()
+    return 0 < len(x) <= 80 and "\t" not in line and bool(TITLE.fullmatch(x)) and len(x.split()) <= 9 and not x.endswith(",")
+
+
+def is_menu(x: str) -> bool:
+    parts = [p.strip().lower() for p in re.split(r"\s*[|·•/»›>→]\s*|\s{2,}|\t", x) if p.strip()]
+    return bool(parts) and all(re.sub(r"\s*[▾▼]$", "", p) in MENU for p in parts)
+
+
+def furniture(content: str) -> list[int]:
+    lines = [x.rstrip("\r") for x in content.split("\n")]
+    texts = [plain(x) for x in lines]
+    fixed = [bool(x) and (is_menu(x) or bool(LINES.fullmatch(x)) or bool(LISTS.fullmatch(x))) for x in texts]
+    found = {i for i, x in enumerate(fixed) if x}
+    key = [re.sub(r"^\d+(?:\.\d+)*[.)]?\s+", "", x).lower() for x in texts]
+    for i, x in enumerate(texts):
+        if not (x and LISTS.fullmatch(x)):
+            continue
+        run = []
+        for j in range(i + 1, len(lines)):
+            if not texts[j]:
+                continue
+            if fixed[j] or not is_title(lines[j]):
+                break
+            run.append(j)
+        else:
+            j = len(lines)
+        if j == len(lines) or fixed[j]:
+            found.update(run)
+        else:
+            # The body follows, and nothing tells the last entries from its first headings unless they come again below. A body begins
+            # with one heading or two, a part of it with one or none; lists have two to five entries.
+            again = [k for k in run if key[k] in key[k + 1 :]]
+            inside = any(texts[k] and k not in found for k in range(i))
+            heads = 0 if inside and len(run) <= 2 else 2 if not inside and len(run) >= 7 else 1
+            found.update(run[: run.index(again[-1]) + 1] if again else run[: len(run) - heads])
+    return sorted(n + 1 for n in found)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are the records that have a url."""
+    records = spark.read.parquet(f"{sf_dir}/source_records.parquet")
+    pages = records.where(F.get_json_object("metadata", "$.url").isNotNull() & F.col("content").isNotNull()).select("id", "content").distinct()
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(i, n) for i, content in batch.itertuples(index=False) for n in furniture(content)]
+            yield pd.DataFrame(found, columns=["id", "line_no"])
+
+    return pages.mapInPandas(judge, "id string, line_no int").distinct()
