@@ -1,0 +1,131 @@
+"""p10: e-mail addresses, phone numbers, identity numbers, postal addresses and names of persons in documents."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable, Iterator
+from functools import cache
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+AT, DOT = r"(?:@|＠|[ \t]*[\[({<][ \t]*(?:at|AT|At|@|ät)[ \t]*[\])}>][ \t]*|[ \t]+(?:AT|at)[ \t]+(?=[\w-]+(?:[ \t]*[\[({]|[ \t]+(?:dot|DOT)[ \t])))", r"(?:\.|．|[ \t]*[\[({<][ \t]*(?:dot|DOT|Dot|\.|punkt)[ \t]*[\])}>][ \t]*|[ \t]+(?:dot|DOT)[ \t]+)"
+EMAIL = re.compile(rf"(?<![\w.+%@/-])[A-Za-z0-9](?:[\w.+%-]*\w)?(?:{DOT}[\w+%-]+)*?{AT}[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:{DOT}[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*{DOT}[A-Za-z]{{2,18}}(?![\w@-])")
+PHONE = re.compile(
+    r"""(?<![\w.+:/#@-])(?:
+      (?:\+|00)\d{1,3}(?:[ .\-/]?\(0\))?(?:[ .\-/]?\(\d{2,4}\))?(?:[ .\-/]?\d{2,5}|[ .\-/]\d){1,5}
+      |(?:1[ .-])?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|(?:1[ .-])?\d{3}([.-])\d{3}\1\d{4}|\d{3}\ \d{3}\ \d{4}
+      |\(?0\d{1,4}\)?[ /-]\d{3,8}(?:[ -]\d{2,5}){0,2}|0\d([ .-])\d{2}(?:\2\d{2}){3}|0\d{9,10}
+      |1[3-9]\d[ -]\d{4}[ -]\d{4}|1[3-9]\d{9}
+    )(?![\w/:@]|[.-]\d|-[A-Za-z])""",
+    re.VERBOSE,
+)
+ID = re.compile(
+    r"(?<![\w.-])(?<!\d )\d{3}(?:-\d{2}-| \d{2} )\d{4}(?![\w-]| \d)|(?<![\w-])[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?!\w)|(?<!\d)\d{17}[\dXx](?!\w)"
+    r"|(?<=ID card )[A-Z0-9]{3,}(?:-[A-Z0-9]+)*|(?i:(?<=passport number )|(?<=passport no\. )|(?<=passport: )|(?<=passport ))[A-Z]{1,2}\d[A-Z0-9]{5,9}(?!\w)"
+)
+WORD = r"[A-ZÀ-Þ][a-zß-ÿ]+"
+TOWN = rf"{WORD}(?: (?:Cross|St|upon|on|am|an der|sur|{WORD}))?"
+ROAD = r"(?:Street|Road|Lane|Avenue|Drive|Way|Close|Court|Place|Square|Terrace|Crescent|Boulevard|Row|Hill|Gardens|Grove|Walk|Parade|St|Rd|Ave|Ln|Dr|Blvd)"
+GAP = r"(?:,[ \t]*(?:\r?\n[ \t]*)?|[ \t]*\r?\n[ \t]*|[ \t]+)"
+SEP = r"(?:,[ \t]*(?:\r?\n[ \t]*)?|[ \t]*\r?\n[ \t]*)"
+UK, ZIP = r"[A-Z]{1,2}\d[A-Z\d]? ?\d[A-Z]{2}\b", r"[A-Z]{2}[ ,]+\d{5}(?:-\d{4})?\b"
+ADDRESS = re.compile(
+    rf"(?<![\w.-])(?:(?:Apt|Flat|Unit|Suite) \w+{SEP})?\d{{1,5}}[A-Za-z]?,? (?:{WORD} ){{1,3}}{ROAD}\b\.?(?:{SEP}(?:Apt|Apartment|Suite|Unit|Flat|Floor)\.? ?#?\w+)?(?:{SEP}{TOWN}(?:{GAP}(?:{UK}|{ZIP}|\d{{5}}\b))?|{SEP}(?:{UK}|{ZIP}))?"
+    rf"|(?<![\w.-])\d{{1,4}}(?: ?(?:bis|ter))?,? (?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|route|cours)(?: (?:de la|de l'|des|du|de|d'))? ?{WORD}(?:[ -]{WORD}){{0,2}}(?:{GAP}\d{{5}} {TOWN}|{SEP}{TOWN})?"
+    rf"|\b(?:{WORD}(?:[ -]{WORD})?[ -]?(?:Straße|Strasse|straße|strasse|str\.|Str\.|weg|Weg|gasse|platz|Platz|allee|Allee|ufer|damm)|(?:Am|An der|Im|Zum|Zur) {WORD}) \d{{1,4}} ?[a-z]?\b(?:{GAP}(?:D-)?\d{{4,5}} {TOWN})?"
+    rf"|\b(?:Calle|Avenida|Plaza|Paseo|C/|Avda\.)(?: (?:de la|de los|del|de))? {WORD}(?: {WORD})?,? (?:n\.?º ?)?\d{{1,4}}(?:{GAP}\d{{5}} {TOWN})?"
+    r"|(?:[一-鿿]{2,4}省)?[一-鿿]{2,4}?市(?:[ \t]*\r?\n[ \t]*)?(?:[一-鿿]{1,5}?[区县])?(?:[ \t]*\r?\n[ \t]*)?[一-鿿]{1,8}?(?:路|街|道|巷|大街|大道)(?:[ \t]*\r?\n[ \t]*)?\d{1,5} ?号(?:院)?(?:\d+ ?(?:号楼|栋|幢|楼|单元|室))*"
+)
+INITIAL = r"[A-ZÀ-Þ]\."
+
+def like(words: set[str]) -> Callable[[str], bool]:
+    """Whether a word is one of the words, or has a stem and an ending that occur among them with others; the lexicon is incomplete."""
+    endings: dict[str, set[str]] = {}
+    stems: dict[str, set[str]] = {}
+    for w in words:
+        for i in range(3, len(w)):
+            endings.setdefault(w[i:], set()).add(w[:i])
+            stems.setdefault(w[:i], set()).add(w[i:])
+    common = {e for e, own in endings.items() if len(own) >= 5}
+    return lambda w: w in words or any(w[i:] in common and len(stems.get(w[:i], set()) & common) >= 2 for i in range(3, len(w)))
+
+
+def spans_of_names(text: str, given: Callable[[str], bool], family: Callable[[str], bool]) -> list[tuple[int, int]]:
+    """A given and a family name side by side, either way round, or a family name with initials."""
+    words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"(?<![\w@./<\\-])[A-ZÀ-Þ][^\W\d_]+(?:-[A-ZÀ-Þ][^\W\d_]+)*(?![\w@]|/\w|::|\(|->)", text)]
+
+    @cache
+    def role(w: str) -> set[str]:
+        parts = [p.lower() for p in w.split("-")]
+        out = set()
+        if all(map(given, parts)):
+            out.add("given")
+        if all(map(family, parts)):
+            out.add("family")
+        return out
+
+    found, i = [], 0
+    while i + 1 < len(words):
+        (a, b, x), (c, d, y) = words[i], words[i + 1]
+        gap = text[b:c]
+        rx, ry = role(x), role(y)
+        near = re.fullmatch(rf"[ \t\xa0]+(?:{INITIAL}[ \t\xa0]*){{0,3}}|[ \t]*\r?\n[ \t]*", gap)
+        if near and ("given" in rx and "family" in ry or "family" in rx and "given" in ry) or re.fullmatch(r",[ \t\xa0]+|,[ \t]*\r?\n[ \t]*", gap) and "family" in rx and "given" in ry:
+            if tail := ("," in gap or "family" in rx and "given" in ry) and re.match(rf"(?:[ \t\xa0]{INITIAL})+", text[d:]):
+                d += tail.end()
+            found.append((a, d))
+            i += 2
+            continue
+        i += 1
+    taken = [*found]
+    for a, b, x in words:
+        if any(a < q and p < b for p, q in taken):
+            continue
+        if "family" in role(x):
+            if m := re.search(rf"(?<![\w.])(?:{INITIAL}[ \t\xa0]*){{1,3}}$", text[:a][-14:]):
+                found.append((a - len(m[0]), b))
+            elif m := re.match(rf",[ \t\xa0]+{INITIAL}(?:[ \t\xa0]?{INITIAL})*", text[b:]):
+                found.append((a, b + m.end()))
+    return found
+
+
+def personal(text: str, given: Callable[[str], bool], family: Callable[[str], bool]) -> set[tuple[str, str]]:
+    found: set[tuple[str, str]] = set()
+    taken: list[tuple[int, int]] = []
+
+    def take(kind: str, a: int, b: int) -> None:
+        if a < b and not any(a < y and x < b for x, y in taken):
+            taken.append((a, b))
+            found.add((kind, text[a:b]))
+
+    if "@" in text or re.search(r"\bat\b|＠|ät", text, re.IGNORECASE):
+        for m in EMAIL.finditer(text):
+            if not re.search(r"@\d", m[0]):
+                take("email", *m.span())
+    for m in ADDRESS.finditer(text):
+        take("address", *m.span())
+    for m in ID.finditer(text):
+        take("id_number", *m.span())
+    for m in PHONE.finditer(text):
+        n = len(re.sub(r"\D", "", m[0]))
+        if 9 <= n <= 15 and len(set(re.sub(r"\D", "", m[0]))) > 2:
+            take("phone", *m.span())
+    for a, b in spans_of_names(text, given, family):
+        take("name", a, b)
+    return found
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.read.parquet(f"{sf_dir}/name_lexicon.parquet").where("name_word is not null").collect()
+    given, family = ({n["name_word"].lower() for n in names if n["name_role"] == role} for role in ("given", "family"))
+
+    given, family = like(given), like(family)
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(i, *x) for i, text in zip(batch["doc_id"], batch["text"], strict=True) for x in personal(text, given, family)]
+            yield pd.DataFrame(found, columns=["doc_id", "kind", "found_text"])
+
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("text is not null")
+    return documents.mapInPandas(judge, "doc_id long, kind string, found_text string")
