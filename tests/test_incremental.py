@@ -1,6 +1,6 @@
 from datetime import datetime, timedelta
 
-from engine.incremental import p2_found
+from engine.operators.incremental import p2_found
 
 T = datetime(2025, 1, 1)
 at = lambda h: T + timedelta(hours=h)
