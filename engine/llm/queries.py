@@ -2,11 +2,12 @@
 
 from engine.llm.contamination import p9_found
 from engine.llm.described import p3_found
+from engine.llm.encoding import p8_ids
 from engine.llm.furniture import p5_found
 from engine.llm.fusion import P6_SQL, p6_found
 from engine.llm.markup import p1_found
 from engine.llm.neighbours import P4_SQL, p4_found
-from engine.llm.personal import p10_found
+from engine.llm.personal import p10_found, p10_masked
 from engine.llm.provenance import p7_found
 
 QUERIES = {
@@ -16,7 +17,9 @@ QUERIES = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
+    "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p10_found": p10_found,
+    "p10_masked": p10_masked,
 }
 SQL = {"p4_found": P4_SQL, "p6_found": P6_SQL}
