@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engine.functions.partitions import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Fixed value: the split into pieces that this vocabulary was made with.
 PIECES = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -138,7 +140,7 @@ def encode_texts(frame: DataFrame, id_column: str, text_column: str, vocabulary:
             ids = [own.encode(x) if x else [] for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_column, "ids"])
 
-    return frame.select(F.col(id_column), F.col(text_column)).mapInArrow(encode, f"{id_column} {kind}, ids array<int>")
+    return spread(frame.select(F.col(id_column), F.col(text_column))).mapInArrow(encode, f"{id_column} {kind}, ids array<int>")
 
 
 def decode_ids(frame: DataFrame, id_column: str, vocabulary: str = VOCABULARY) -> DataFrame:
