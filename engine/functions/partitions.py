@@ -1,7 +1,10 @@
-"""Partitions for work that is heavy for its bytes."""
+"""Partitions for work that is heavy for its bytes, and results kept in the folder that all executors share."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 
 
@@ -12,9 +15,7 @@ def spread(frame: DataFrame) -> DataFrame:
 
 
 def shared_folder(frame: DataFrame) -> str:
-    """The folder that all executors share, as the session names it; where none is named, as in tests, one is set below the working directory's temporary folder."""
-    import tempfile
-
+    """The folder that all executors share, as the session names it; only where none is named, as in tests, a temporary one is made and named."""
     context = frame.sparkSession.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or frame.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -29,3 +30,10 @@ def cut(frame: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_folder(frame))
     return frame.checkpoint()
+
+
+def written(frame: DataFrame) -> DataFrame:
+    """The frame written once as Parquet in the shared folder and read from there, for results that are read more than once; it outlives executors."""
+    path = f"{shared_folder(frame)}/engine-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
