@@ -1,70 +1,242 @@
-"""p4: the most similar other vectors of each vector, exactly."""
+"""p4: the most similar other vectors of each vector, by one-bit codes of randomly rotated residuals.
+
+Vectors get the nearest of K directions, which are fitted on at most SAMPLE of them, and a shell by their angle to it; cells that hold many vectors
+are split into blocks of about BLOCK. First each vector is held against its own block, which bounds the cosine that others must reach. Then it goes
+only to blocks that can hold a vector so near: by the triangle inequality of angles none that counts is left out. Within a block a vector is a code
+of one bit a dimension of its rotated residual and three scalars; these estimate cosines with a bound of error, and only pairs that the bound
+leaves open are computed again in double precision. The bound is EPSILON standard deviations of the estimate, so that less than one pair in a
+million is lost.
+
+Vectors that are null, all zero, not of DIM numbers, or that hold null, NaN or infinity take no part. Equal cosines go to the smaller vec_id.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-DIM, NEAREST, LEAST, BLOCK = 128, 10, 0.72, 1024
-#: Products of matrices differ from the cosine by less; what lies so near a limit is computed again.
-SLACK = 1e-9
-
-
-def near(a: np.ndarray, b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each row of a, the NEAREST rows of b that reach LEAST; s: the cosines, nearly. Rounded, so that copies of a vector tie at any scale."""
-    keep = s >= LEAST - SLACK
-    if s.shape[1] > NEAREST:
-        keep &= s >= np.partition(s, -NEAREST, axis=1)[:, -NEAREST, None] - SLACK
-    r, c = np.nonzero(keep & (ids_a[:, None] != ids_b[None, :]))
-    cos = np.concatenate([np.zeros(0), *((a[r[i : i + 50_000]] * b[c[i : i + 50_000]]).sum(axis=1) for i in range(0, len(r), 50_000))]).round(12)
-    order = np.lexsort((ids_b[c], -cos, r))
-    r, c, cos = r[order], c[order], cos[order]
-    first = np.searchsorted(r, r)
-    keep = (np.arange(len(r)) - first < NEAREST) & (cos >= LEAST)
-    return ids_a[r[keep]], ids_b[c[keep]], cos[keep]
-
-
-def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Both directions of each pair of blocks."""
-
-    def block(x: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-        rows = x.values
-        v = rows.field("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, DIM)
-        v /= np.abs(v).max(axis=1, keepdims=True)
-        return rows.field("vec_id").to_numpy(), v / np.sqrt((v * v).sum(axis=1, keepdims=True))
-
-    for batch in batches:
-        for i in range(batch.num_rows):
-            x, y = batch.column("left_id")[i].as_py(), batch.column("right_id")[i].as_py()
-            ids_a, a = block(batch.column("left")[i])
-            ids_b, b = block(batch.column("right")[i])
-            s = a @ b.T
-            # a vector itself is one of its own block, and mustn't take a place
-            s[ids_a[:, None] == ids_b[None, :]] = -2
-            found = [near(a, b, ids_a, ids_b, s)] + ([near(b, a, ids_b, ids_a, s.T)] if x != y else [])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*found, strict=True)], names=["vec_id", "other", "cos"])
+from engine.functions.partitions import spread, written
 
+DIM, NEAREST, LEAST = 128, 10, 0.72
+SAMPLE, A_CELL, CELLS, ROUNDS = 20_000, 256, 1024, 6
+BLOCK, QUERIES, EPSILON = 2048, 8192, 5.0
+#: Shells end at these angles (degrees) from a cell's direction.
+SHELLS = np.radians([20, 30, 38, 46, 60])
+#: Cosines by floats and angles differ from the exact ones by less.
+SLACK = 2e-6
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.read.parquet(f"{sf_dir}/chunk_vectors.parquet").select("vec_id", "vector")
-    whole = table.where(
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    v = vectors.astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+
+
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return unit(column.flatten().to_numpy(zero_copy_only=False).reshape(-1, DIM))
+
+
+def directions(sample: np.ndarray, k: int) -> np.ndarray:
+    """k unit vectors, by spherical k-means from a fixed start."""
+    rng = np.random.default_rng(11)
+    x = sample.astype(np.float32)
+    c = x[rng.permutation(len(x))[:k]].copy()
+    for _ in range(ROUNDS):
+        own = np.concatenate([(x[i : i + 4096] @ c.T).argmax(axis=1) for i in range(0, len(x), 4096)])
+        order = np.argsort(own, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(own[order]) > 0])
+        sums = np.add.reduceat(x[order], first, axis=0)
+        norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        c[own[order][first]] = np.where(norm > 1e-6, sums / np.maximum(norm, 1e-6), c[own[order][first]])
+    return c
+
+
+def rotation() -> np.ndarray:
+    q, r = np.linalg.qr(np.random.default_rng(12).normal(size=(DIM, DIM)))
+    return (q * np.sign(np.diag(r))).astype(np.float32)
+
+
+@dataclass
+class Index:
+    """cells: directions; rotation; blocks: a row for each cell and shell with its number, first block, blocks, and the least and greatest angle."""
+
+    cells: np.ndarray
+    rotation: np.ndarray
+    blocks: np.ndarray = None
+
+    def place(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cell, shell and angle of unit vectors."""
+        cos = v.astype(np.float32) @ self.cells.T
+        cell = cos.argmax(axis=1)
+        angle = np.arccos(cos[np.arange(len(v)), cell].astype(np.float64).clip(-1, 1))
+        return cell, np.searchsorted(SHELLS, angle), angle
+
+
+@dataclass
+class Codes:
+    """Packed one-bit codes of a block's vectors and the scalars that correct the estimates."""
+
+    bits: np.ndarray
+    length: np.ndarray
+    along: np.ndarray
+    fit: np.ndarray
+
+    @classmethod
+    def of(cls, v: np.ndarray, direction: np.ndarray, turn: np.ndarray) -> Codes:
+        r = v - direction.astype(np.float64)
+        length = np.sqrt((r * r).sum(axis=1))
+        turned = (r @ turn) / np.maximum(length, 1e-12)[:, None]
+        return cls(np.packbits(turned > 0, axis=1), length, r @ direction, np.abs(turned).sum(axis=1) / DIM**0.5)
+
+    def estimate(self, q: np.ndarray, direction: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The estimated cosine of each query and vector, and the bound of its error."""
+        r = q - direction.astype(np.float64)
+        signs = np.unpackbits(self.bits, axis=1).astype(np.float32) * 2 - 1
+        products = ((r @ turn).astype(np.float32) @ signs.T) / DIM**0.5
+        fit = np.maximum(self.fit, 1e-6)
+        cos = (q @ direction)[:, None] + self.along[None] + products * (self.length / fit)[None]
+        error = np.sqrt((r * r).sum(axis=1))[:, None] * (self.length * np.sqrt(np.maximum(0, 1 - fit * fit)) / fit * (EPSILON / (DIM - 1) ** 0.5))[None]
+        return cos, error + SLACK
+
+
+def nearest(q: np.ndarray, ids_q: np.ndarray, v: np.ndarray, ids_v: np.ndarray, codes: Codes, direction: np.ndarray, turn: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, id of v, cosine) of the NEAREST vectors of each query that reach `least`, by estimate and exact check."""
+    found = []
+    for i in range(0, len(q), 1024):
+        part = q[i : i + 1024]
+        cos, error = codes.estimate(part, direction, turn)
+        itself = ids_q[i : i + 1024, None] == ids_v[None, :]
+        floor = least[i : i + 1024].copy()
+        if cos.shape[1] > NEAREST:
+            # the NEAREST-th of the lower bounds is reached for certain
+            sure = np.where(itself, -2, cos - error)
+            floor = np.maximum(floor, np.partition(sure, -NEAREST, axis=1)[:, -NEAREST])
+        r, c = np.nonzero((cos + error >= floor[:, None]) & ~itself)
+        exact = np.concatenate([np.zeros(0), *((part[r[j : j + 50_000]] * v[c[j : j + 50_000]]).sum(axis=1) for j in range(0, len(r), 50_000))]).round(12)
+        order = np.lexsort((ids_v[c], -exact, r))
+        r, c, exact = r[order], c[order], exact[order]
+        keep = (np.arange(len(r)) - np.searchsorted(r, r) < NEAREST) & (exact >= LEAST)
+        found.append((r[keep] + i, ids_v[c[keep]], exact[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def locate(shared: Broadcast) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cell, shell, angle = shared.value.place(matrix(batch.column("vector")))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vector"), *map(pa.array, (cell.astype(np.int32), shell.astype(np.int32), angle))], names=["vec_id", "vector", "cell", "shell", "angle"])
+
+    return run
+
+
+def own_block(shared: Broadcast) -> Callable:
+    """Each vector of a block with the nearest others in it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        index: Index = shared.value
+        ids, v = table["vec_id"].to_numpy(), matrix(table["vector"])
+        direction = index.cells[table["cell"][0].as_py()]
+        r, other, cos = nearest(v, ids, v, ids, Codes.of(v, direction, index.rotation), direction, index.rotation, np.full(len(v), LEAST))
+        ends = np.searchsorted(r, np.arange(len(v) + 1))
+        full = ends[1:] - ends[:-1] >= NEAREST
+        reach = np.where(full, cos[np.minimum(ends[1:], max(1, len(cos))) - 1] if len(cos) else LEAST, LEAST)
+        offsets = pa.array(ends.astype(np.int32))
+        return pa.table([table["vec_id"], table["vector"].combine_chunks(), table["block"], pa.array(reach), pa.ListArray.from_arrays(offsets, pa.array(other)), pa.ListArray.from_arrays(offsets, pa.array(cos))], names=["vec_id", "vector", "block", "reach", "others", "cosines"])
+
+    return run
+
+
+def route(shared: Broadcast) -> Callable:
+    """The blocks, besides its own, that can hold vectors as near to a vector as it needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: Index = shared.value
+        cell, start, count, low, high = index.blocks.T
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                v = matrix(part.column("vector"))
+                angle = np.arccos((v.astype(np.float32) @ index.cells.T).astype(np.float64).clip(-1, 1))[:, cell.astype(np.int64)]
+                wide = np.arccos((part.column("reach").to_numpy() - 1e-9).clip(-1, 1))[:, None] + 1e-3
+                r, b = np.nonzero((angle - high <= wide) & (low - angle <= wide))
+                times = count[b].astype(np.int64)
+                r, block = np.repeat(r, times), np.repeat(start[b].astype(np.int64), times) + np.concatenate([np.zeros(0, np.int64), *map(np.arange, times)])
+                keep = block != part.column("block").to_numpy()[r]
+                r, block = r[keep], block[keep]
+                yield pa.RecordBatch.from_arrays([part.column("vec_id").take(pa.array(r)), part.column("vector").take(pa.array(r)), part.column("reach").take(pa.array(r)), pa.array(block.astype(np.int32))], names=["vec_id", "vector", "reach", "block"])
+
+    return run
+
+
+def other_block(shared: Broadcast) -> Callable:
+    """The nearest vectors of a block for each of the vectors sent to it."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        index: Index = shared.value
+        out = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if left.num_rows and right.num_rows:
+            ids, q, v = left["vec_id"].to_numpy(), matrix(left["vector"]), matrix(right["vector"])
+            direction = index.cells[right["cell"][0].as_py()]
+            r, other, cos = nearest(q, ids, v, right["vec_id"].to_numpy(), Codes.of(v, direction, index.rotation), direction, index.rotation, left["reach"].to_numpy())
+            out = ids[r], other, cos
+        return pa.table([pa.array(x) for x in out], names=["vec_id", "other", "cos"])
+
+    return run
+
+
+def usable(table: DataFrame) -> DataFrame:
+    return table.select("vec_id", "vector").where(
         (F.size("vector") == DIM)
         & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
         & F.exists("vector", lambda x: x != 0)
     )
-    n = max(1, -(-table.count() // BLOCK))
-    parts = min(n, 12)
-    blocks = whole.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("id")).agg(F.collect_list(F.struct("vec_id", "vector")).alias("rows")).repartition(parts, "id")
-    left, right = (blocks.select(F.col("id").alias(f"{x}_id"), F.col("rows").alias(x)) for x in ("left", "right"))
-    pairs = left.crossJoin(right).where("left_id <= right_id")
-    near_ones = pairs.mapInArrow(compare, "vec_id long, other long, cos double")
+
+
+def similar(table: DataFrame) -> DataFrame:
+    """vec_id, other, cos: of each vector the NEAREST others that reach LEAST."""
+    context = table.sparkSession.sparkContext
+    whole = spread(usable(table))
+    fields = "vec_id long, vector array<float>"
+    n = whole.select("vec_id").count()
+    sample = whole.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow() if n else None
+    if not n:
+        return table.sparkSession.createDataFrame([], "vec_id long, other long, cos double")
+    cells = directions(matrix(sample["vector"]), min(CELLS, -(-n // A_CELL), sample.num_rows))
+    index = Index(cells, rotation())
+    located = written(whole.mapInArrow(locate(context.broadcast(index)), f"{fields}, cell int, shell int, angle double"))
+    # at most CELLS times the number of shells
+    stats = sorted((r.cell, r.shell, r.n, r.low, r.high) for r in located.groupBy("cell", "shell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect())
+    counts = [-(-x[2] // BLOCK) for x in stats]
+    starts = np.concatenate([[0], np.cumsum(counts)]).tolist()
+    index.blocks = np.array([(c, start, k, low, high) for (c, _, _, low, high), start, k in zip(stats, starts, counts, strict=False)], float)
+    shared = context.broadcast(index)
+    numbers = table.sparkSession.createDataFrame([(c, s, start, k) for (c, s, *_), start, k in zip(stats, starts, counts, strict=False)], "cell int, shell int, start int, salts int")
+    blocked = located.join(F.broadcast(numbers), ["cell", "shell"]).select("vec_id", "vector", "cell", (F.col("start") + F.pmod(F.xxhash64("vec_id"), F.col("salts"))).cast("int").alias("block"))
+    own = written(blocked.groupBy("block").applyInArrow(own_block(shared), f"{fields}, block int, reach double, others array<long>, cosines array<double>"))
+    sent = own.select("vec_id", "vector", "block", "reach").mapInArrow(route(shared), f"{fields}, reach double, block int")
+    # a block that many vectors are sent to is held against QUERIES of them at a time; the counts are one number a block
+    loads = own.select("vec_id", "vector", "block", "reach").mapInArrow(route(shared), f"{fields}, reach double, block int").groupBy("block").count()
+    loads = loads.select("block", F.ceil(F.col("count") / QUERIES).cast("int").alias("shards")).persist()
+    queries = sent.join(F.broadcast(loads), "block").withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("shards")).cast("int"))
+    data = blocked.join(F.broadcast(loads), "block").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    far = queries.select("vec_id", "vector", "reach", "block", "shard").groupBy("block", "shard").cogroup(data.select("vec_id", "vector", "cell", "block", "shard").groupBy("block", "shard")).applyInArrow(other_block(shared), "vec_id long, other long, cos double")
+    close = own.select("vec_id", F.explode(F.arrays_zip("others", "cosines")).alias("x")).select("vec_id", F.col("x.others").alias("other"), F.col("x.cosines").alias("cos"))
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("cos"), "other"))
-    best = near_ones.withColumn("n", rank).where(F.col("n") <= NEAREST)
-    return best.select(F.least("vec_id", "other").alias("vec_id_a"), F.greatest("vec_id", "other").alias("vec_id_b")).distinct()
+    return close.unionByName(far).withColumn("n", rank).where(F.col("n") <= NEAREST).drop("n")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = similar(spark.read.parquet(f"{sf_dir}/chunk_vectors.parquet"))
+    return pairs.select(F.least("vec_id", "other").alias("vec_id_a"), F.greatest("vec_id", "other").alias("vec_id_b")).distinct()
 
 
 P4_SQL = """

@@ -17,3 +17,36 @@ def test_every_pair_of_blocks_counts_and_bad_vectors_do_not(spark, tmp_path, mon
     expected = {(min(i, j), max(i, j)) for i, near in best.items() for _, j in near}
     monkeypatch.setattr(neighbours, "BLOCK", 20)
     assert {tuple(r) for r in neighbours.p4_found(spark, str(tmp_path)).collect()} == expected
+
+
+def test_bound_holds_and_recall_is_whole():
+    rng = np.random.default_rng(5)
+    v = neighbours.unit(np.repeat(rng.normal(size=(4, 128)), 500, axis=0) + 0.5 * rng.normal(size=(2000, 128)))
+    turn = neighbours.rotation()
+    assert np.allclose(turn @ turn.T, np.eye(128), atol=1e-5)
+    direction = neighbours.directions(v, 4)[0]
+    codes = neighbours.Codes.of(v, direction, turn)
+    assert codes.bits.shape == (2000, 16)
+    q = v[::50]
+    cos, error = codes.estimate(q, direction, turn)
+    assert (np.abs(cos - q @ v.T) <= error).all()
+    ids = np.arange(2000)
+    r, other, c = neighbours.nearest(q, ids[::50], v, ids, codes, direction, turn, np.full(len(q), 0.72))
+    s = (q @ v.T).round(12)
+    s[np.arange(len(q)), ids[::50]] = -2
+    truth = {(i, j) for i in range(len(q)) for j in np.lexsort((ids, -s[i]))[:10].tolist() if s[i, j] >= 0.72}
+    assert set(zip(r.tolist(), other.tolist(), strict=True)) == truth
+
+
+def test_no_usable_vector(spark):
+    frame = spark.createDataFrame([(1, None, "x"), (2, [1.0], "y")], "vec_id long, vector array<float>, cell string")
+    assert neighbours.similar(frame).count() == 0
+
+
+def test_one_vector_and_copies(spark):
+    x = [1.0] + [0.0] * 127
+    one = spark.createDataFrame([(1, x, "extra")], "vec_id long, vector array<float>, block string")
+    assert neighbours.similar(one).count() == 0
+    copies = spark.createDataFrame([(i, x, "extra") for i in range(15)], "vec_id long, vector array<float>, block string")
+    found = {(r.vec_id, r.other) for r in neighbours.similar(copies).collect()}
+    assert found == {(i, j) for i in range(15) for j in [k for k in range(15) if k != i][:10]}
