@@ -1,10 +1,19 @@
-"""p2: what each successful run has to process."""
+"""p2: what each successful run has to process, worked off a ledger (ledger.py).
+
+Rows without a key (relative_path, id) or run are none; the latest recorded_at of a path and the highest run_id of a chunk hold, and of equal ones
+the greatest hash; a null content hashes to null, which equals only null. Empty tables give no rows.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from engine.functions.partitions import shared_folder
+from engine.operators.ledger import Ledger, with_item, work
+
 
 def successful_runs(runs: DataFrame) -> DataFrame:
     """run_id, prev_run (0 before the first): runs whose latest status is succeeded."""
@@ -16,9 +25,9 @@ def successful_runs(runs: DataFrame) -> DataFrame:
 
 def file_changes(inventory: DataFrame, runs: DataFrame) -> DataFrame:
     """A run's inventory against that of the successful run before; each row is joined once as its own run and once as the next run's past."""
-    files = inventory.groupBy("run_id", F.translate("relative_path", "\\", "/").alias("record_key")).agg(
-        F.max_by(F.lower("sha256"), "recorded_at").alias("sha")
-    )
+    files = inventory.where("run_id is not null and relative_path is not null").groupBy("run_id", F.translate("relative_path", "\\", "/").alias("record_key")).agg(
+        F.max(F.struct("recorded_at", F.lower("sha256").alias("sha"))).alias("last")
+    ).select("run_id", "record_key", "last.sha")
     now = files.join(F.broadcast(runs), "run_id").select("run_id", "record_key", "sha", F.lit(1).alias("now"))
     then = files.join(F.broadcast(runs.select(F.col("run_id").alias("next_run"), F.col("prev_run").alias("run_id"))), "run_id").select(
         F.col("next_run").alias("run_id"), "record_key", "sha", F.lit(0).alias("now")
@@ -35,13 +44,14 @@ def file_changes(inventory: DataFrame, runs: DataFrame) -> DataFrame:
 
 def chunk_changes(chunks: DataFrame, runs: DataFrame) -> DataFrame:
     """Of the deliveries since the successful run before, the last one of each id, against the last one taken earlier."""
-    rows = chunks.select(
+    rows = chunks.where("run_id is not null and id is not null").select(
         F.col("id").alias("record_key"), F.col("run_id").alias("row_run"), "delivered_at", F.lower(F.coalesce("content_sha256", F.sha2("content", 256))).alias("sha")
     )
     taken = (
         rows.join(F.broadcast(runs), (F.col("row_run") > F.col("prev_run")) & (F.col("row_run") <= F.col("run_id")))
         .groupBy("record_key", "run_id")
-        .agg(F.max_by("sha", F.struct("row_run", "delivered_at")).alias("sha"))
+        .agg(F.max(F.struct("row_run", "delivered_at", "sha")).alias("last"))
+        .select("record_key", "run_id", "last.sha")
     )
     before = Window.partitionBy("record_key").orderBy("run_id")
     seen = taken.withColumns({"old_sha": F.lag("sha").over(before), "n": F.row_number().over(before)})
@@ -49,10 +59,35 @@ def chunk_changes(chunks: DataFrame, runs: DataFrame) -> DataFrame:
     return seen.select("run_id", F.lit("chunk").alias("record_type"), "record_key", kind.alias("kind")).where("kind is not null")
 
 
+SCHEMA = "run_id int, record_type string, record_key string, kind string"
+
+
+def changes(inventory: DataFrame, chunks: DataFrame, runs: DataFrame, items: list[str]) -> DataFrame:
+    """The rows of the items, which are named run-type, as file-7 or chunk-7; both types of all runs take one job."""
+    wanted = {kind: [int(x.split("-")[1]) for x in items if x.startswith(kind)] for kind in ("file", "chunk")}
+    rows = file_changes(inventory, runs.where(F.col("run_id").isin(wanted["file"]))).unionByName(
+        chunk_changes(chunks, runs).where(F.col("run_id").isin(wanted["chunk"]))
+    )
+    return with_item(rows, "record_type", "run_id")
+
+
+def process_changes(ledger: Ledger, inventory: DataFrame, chunks: DataFrame, status: DataFrame, worker: str = "worker") -> DataFrame:
+    """Adds an item for each type and successful run, works off what is pending and gives the rows of all that is done.
+
+    Runs that come later become new items; those done aren't read again. A worker that stops leaves leases that expire.
+    """
+    runs = successful_runs(status)
+    ledger.add(f"{kind}-{r.run_id}" for r in runs.toLocalIterator() for kind in ("file", "chunk"))
+    work(ledger, worker, lambda items: changes(inventory, chunks, runs, items))
+    return ledger.results(SCHEMA)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger is new for each call, so that the whole tables are processed."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    runs = successful_runs(read("index_runs"))
-    return file_changes(read("project_inventory"), runs).unionByName(chunk_changes(read("chunks"), runs))
+    status = read("index_runs")
+    ledger = Ledger(spark, f"{shared_folder(status)}/changes-{uuid.uuid4().hex}")
+    return process_changes(ledger, read("project_inventory"), read("chunks"), status)
 
 
 P2_SQL = """
