@@ -1,4 +1,11 @@
-"""p3: functions of source chunks that are described in earnest."""
+"""p3: functions of source chunks that are described in earnest, with their descriptions.
+
+One recursive pattern captures what leads to a statement (comments, directives), its head and its balanced body together; literals and comments are
+taken whole, so that brackets in them don't count, and what never closes runs to the end, so that no text makes it go back. Classes and namespaces
+are entered, bodies of functions aren't. Comments are those directly above; trivial ones (see in_earnest) are dropped.
+
+Null and empty contents, and contents without a comment, hold nothing; doubled rows change nothing; a chunk's rows count together.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +13,31 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from engine.functions.partitions import spread
+
 #: Comments and literals, in the order in which they hide one another.
-TOKEN = re.compile(r'(?P<line>//[^\n]*)|(?P<block>/\*.*?(?:\*/|\Z))|R"(?P<d>[^()\\\s]{0,16})\(.*?\)(?P=d)"|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])+\'', re.DOTALL)
-LABEL = re.compile(r"\s*(?:public|protected|private)\s*:(?!:)")
+TOKEN = re.compile(r'(?P<line>//[^\n]*)|(?P<block>/\*.*?(?:\*/|\Z))|R"(?P<d>[^()\\\s]{0,16})\(.*?(?:\)(?P=d)"|\Z)|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])+\'', re.DOTALL)
+UNIT = regex.compile(
+    r"""
+    (?(DEFINE)
+      (?P<comment>//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/|\Z))
+      (?P<literal>R"(?P<mark>[^()\\\s]{0,16})\((?:[^)]++|\)(?!(?P=mark)"))*+(?:\)(?P=mark)"|\Z)|"(?:\\.|[^"\\\n])*+"|'(?:\\.|[^'\\\n])++')
+      (?P<round>\((?:[^()"'/R]++|(?&comment)|(?&literal)|(?&round)|["'/R])*+(?:\)|\Z))
+      (?P<curly>\{(?:[^{}"'/R]++|(?&comment)|(?&literal)|(?&curly)|["'/R])*+(?:\}|\Z))
+      (?P<directive>\#(?:[^\\\n]++|\\.|\\\Z)*+)
+      (?P<piece>[^;{}()"'/\#:R]++|(?&comment)|(?&literal)|(?&round)|::|["'/\#:R])
+    )
+    (?P<close>\s*+\})
+    |(?P<lead>(?:\s++|(?&comment)|(?&directive)|(?:public|protected|private)\s*+:(?!:))*+)
+     (?P<head>(?&piece)*+)
+     (?:;|(?P<body>\{)|(?=\})|\Z)
+    """,
+    regex.VERBOSE | regex.DOTALL,
+)
+BODY = regex.compile(UNIT.pattern[: UNIT.pattern.index("(?P<close>")] + "(?&curly)", regex.VERBOSE | regex.DOTALL)
 SCOPE = re.compile(r"\b(?:class|struct|namespace|union|extern)\b[^()=]*$")
 NOT_NAMES = {"if", "for", "while", "switch", "return", "sizeof", "catch", "static_assert", "defined", "decltype", "alignas", "alignof", "noexcept", "requires", "new", "delete", "throw"}
 NOT_TYPES = re.compile(r"\b(?:return|new|delete|throw|using|typedef|goto|else|case|co_return|co_await)\b|->|[.=+/!?|\"]")
@@ -18,6 +45,10 @@ CALL = re.compile(r"(operator\s*(?:\(\s*\)|[^\s\w(]+|\s[\w:]+[\s*&]*)|~?\w+)\s*(
 QUALIFIED = re.compile(r"(\w+)\s*(?:<[^()]*>)?\s*::\s*$")
 
 
+#: What leads to a statement once comments are blanked.
+LEAD = re.compile(r"(?:\s+|#(?:[^\\\n]|\\.)*|(?:public|protected|private)\s*:(?!:))*", re.DOTALL)
+
+
 def hide(text: str) -> tuple[str, list[tuple[int, int]]]:
     """The text with comments and literals blanked, lines kept; the spans of comments."""
     spans: list[tuple[int, int]] = []
@@ -41,38 +72,28 @@ def closing(code: str, at: int, pair: str) -> int:
     return len(code)
 
 
-def statements(code: str, start: int, end: int, owner: str) -> Iterator[tuple[int, int, str]]:
-    """Spans of the statements outside of bodies, with the class around."""
-    at = start
-    i = start
-    while i < end:
-        c = code[i]
-        if c == "(":
-            i = closing(code, i, "()")
-            continue
-        if c == "#" and not code[at:i].strip():
-            while i < end and code[i] != "\n":
-                i += 2 if code[i] == "\\" else 1
-            at = i
+def statements(text: str) -> Iterator[tuple[int, int, int, str]]:
+    """Of each statement outside of bodies: where what leads to it begins, where its head and its body end, and the class around."""
+    owners: list[str] = []
+    at = 0
+    while at < len(text) and (m := UNIT.match(text, at)):
+        if m["close"]:
+            if owners:
+                owners.pop()
+            at = m.end()
             continue
-        if c == ":" and (m := LABEL.match(code, at)) and m.end() == i + 1:
-            at = i + 1
-        elif c == ";" or c == "}":
-            yield at, i, owner
-            at = i + 1
-        elif c == "{":
-            head = code[at:i]
-            to = closing(code, i, "{}")
+        end = m.end()
+        if m["body"]:
+            head = hide(m["head"])[0]
             bare = re.sub(r"\b[A-Z][A-Z0-9_]*\s*\([^()]*(?:\([^()]*\)[^()]*)*\)", "", unfold(head)[1])
             if SCOPE.search(bare):
                 name = re.search(r"\b(?:class|struct|union)\s+(?:\[\[.*?\]\]\s*|[A-Z][A-Z0-9_]*_API\s+)*(\w+)", bare)
-                yield from statements(code, i + 1, to - 1 if code[to - 1 : to] == "}" else to, name[1] if name else owner)
-            else:
-                yield at, i, owner
-            i = at = to
-            continue
-        i += 1
-    yield at, end, owner
+                owners.append(name[1] if name else owners[-1] if owners else "")
+                at = end
+                continue
+            end = BODY.match(text, end - 1).end()
+        yield at, m.end("head"), end, owners[-1] if owners else ""
+        at = max(end, at + 1)
 
 
 def unfold(head: str) -> tuple[int, str]:
@@ -145,48 +166,74 @@ def in_earnest(lines: list[str], name: str) -> bool:
     return len(words) >= 4 and not all(w.lower() in own for w in words)
 
 
-def described(content: str) -> set[str]:
+def comment_above(lead: str, sig: int, name: str, whole_first: bool) -> list[str]:
+    """The lines of the comment in earnest directly above the line of place `sig` in lead, which holds what leads to a statement and its macro lines."""
+    code, _ = hide(lead)
+    rows, bare = lead.split("\n"), code.split("\n")
+    blank = len(code) - len(code.lstrip())
+    first, n = code.count("\n", 0, blank), code.count("\n", 0, sig) - 1
+    comment: list[str] = []
+    while n >= 0 and rows[n].strip():
+        if not bare[n].strip() and (n or whole_first):
+            x = rows[n].strip()
+            x = re.sub(r"^(?:/\*[*!]*<?|//[/!]*<?)|\*+/$", "", x) if x[:2] in ("/*", "//") else re.sub(r"^\*+(?!/)|\*+/$", "", x)
+            comment.insert(0, x)
+        elif comment and in_earnest(comment, name) or n < first or re.match(r"\s*GENERATED_\w*BODY", bare[n]):
+            break
+        else:
+            comment = []
+        n -= 1
+    return comment if comment and in_earnest(comment, name) else []
+
+
+def pairs(content: str) -> dict[str, tuple[str, str]]:
+    """Each function described in earnest, with its description and its code; of functions of one name, the first."""
     text = content.replace("\r\n", "\n").replace("\r", "\n")
-    code, spans = hide(text)
-    if not spans:
-        return set()
-    starts = [0, *(m.end() for m in re.finditer("\n", text))]
-    rows, bare = text.split("\n"), code.split("\n")
-    line_of = lambda at: code.count("\n", 0, at)
-    marked: dict[int, list[tuple[int, int]]] = {}
-    for a, b in spans:
-        for n in range(line_of(a), line_of(b) + 1):
-            marked.setdefault(n, []).append((max(a, starts[n]), b))
-    found = set()
-    for a, b, owner in statements(code, 0, len(code), ""):
-        at, head = unfold(code[a:b])
+    found: dict[str, tuple[str, str]] = {}
+    if "//" not in text and "/*" not in text:
+        return found
+    for start, head_end, end, owner in statements(text):
+        region = text[start:head_end]
+        if "(" not in region or "//" not in region and "/*" not in region:
+            continue
+        code = hide(region)[0]
+        lead = LEAD.match(code).end()
+        at, head = unfold(code[lead:])
         if not (name := function_name(head, owner)):
             continue
-        first, n = line_of(a + len(code[a:b]) - len(code[a:b].lstrip())), line_of(a + at) - 1
-        comment: list[str] = []
-        while n >= 0 and rows[n].strip():
-            if not bare[n].strip():
-                x = rows[n].strip()
-                x = re.sub(r"^(?:/\*[*!]*<?|//[/!]*<?)|\*+/$", "", x) if x[:2] in ("/*", "//") else re.sub(r"^\*+(?!/)|\*+/$", "", x)
-                comment.insert(0, x)
-            elif comment and in_earnest(comment, name) or n < first or re.match(r"\s*GENERATED_\w*BODY", bare[n]):
-                break
-            else:
-                comment = []
-            n -= 1
-        if comment and in_earnest(comment, name):
-            found.add(re.sub(r"\s+", " ", name))
+        before = text[text.rfind("\n", 0, start) + 1 : start]
+        if comment := comment_above(region, lead + at, name, not before.strip()):
+            said = "\n".join(x.strip() for x in comment).strip()
+            found.setdefault(re.sub(r"\s+", " ", name), (said, text[start + lead : end].strip()))
     return found
 
 
+def described(content: str) -> set[str]:
+    return set(pairs(content))
+
+
+def texts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/chunks.parquet").where("source_type is null or source_type like '%source'")
+    return spread(rows.where("content like '%//%' or content like '%/*%'").select("id", "content").distinct())
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of one content are read once."""
-    rows = spark.read.parquet(f"{sf_dir}/chunks.parquet").where("source_type is null or source_type like '%source'")
-    texts = rows.where("content like '%//%' or content like '%/*%'").select("id", "content").distinct()
 
     def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [(i, name) for i, content in zip(batch["id"], batch["content"], strict=True) for name in described(content)]
             yield pd.DataFrame(found, columns=["chunk_id", "function_name"])
 
-    return texts.mapInPandas(names, "chunk_id string, function_name string").distinct()
+    return texts_of(spark, sf_dir).mapInPandas(names, "chunk_id string, function_name string").distinct()
+
+
+def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunk_id, function_name, description and code of each function described in earnest; rows of a chunk that differ give a row each."""
+
+    def both(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(i, name, *x) for i, content in zip(batch["id"], batch["content"], strict=True) for name, x in pairs(content).items()]
+            yield pd.DataFrame(found, columns=["chunk_id", "function_name", "description", "code"])
+
+    return texts_of(spark, sf_dir).mapInPandas(both, "chunk_id string, function_name string, description string, code string").distinct()
