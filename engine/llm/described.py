@@ -41,8 +41,8 @@ BODY = regex.compile(UNIT.pattern[: UNIT.pattern.index("(?P<close>")] + "(?&curl
 SCOPE = re.compile(r"\b(?:class|struct|namespace|union|extern)\b[^()=]*$")
 NOT_NAMES = {"if", "for", "while", "switch", "return", "sizeof", "catch", "static_assert", "defined", "decltype", "alignas", "alignof", "noexcept", "requires", "new", "delete", "throw"}
 NOT_TYPES = re.compile(r"\b(?:return|new|delete|throw|using|typedef|goto|else|case|co_return|co_await)\b|->|[.=+/!?|\"]")
-CALL = re.compile(r"(operator\s*(?:\(\s*\)|[^\s\w(]+|\s[\w:]+[\s*&]*)|~?\w+)\s*(?:<[^()]*>\s*)?\(")
-QUALIFIED = re.compile(r"(\w+)\s*(?:<[^()]*>)?\s*::\s*$")
+CALL = re.compile(r"(?<!\w)(operator\s*(?:\(\s*\)|[^\s\w(]+|\s[\w:]+[\s*&]*)|~?\w+)\s*(?:<[^()]*>\s*)?\(")
+QUALIFIED = re.compile(r"(?<!\w)(\w+)\s*(?:<[^()]*>)?\s*::\s*$")
 
 
 #: What leads to a statement once comments are blanked.
@@ -57,7 +57,7 @@ def hide(text: str) -> tuple[str, list[tuple[int, int]]]:
         if m["line"] or m["block"]:
             spans.append(m.span())
             return re.sub(r"[^\n]", " ", m[0])
-        return '"' + re.sub(r"[^\n]", "_", m[0][1:-1]) + '"'
+        return re.sub(r"[^\n]", '"', m[0])
 
     return TOKEN.sub(blank, text), spans
 
