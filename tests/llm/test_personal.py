@@ -1,6 +1,10 @@
+from itertools import pairwise, product
+
+import numpy as np
 import pytest
 
-from engine.llm.personal import like, p10_found
+from engine.llm.personal import like, p10_found, p10_masked
+from engine.llm.tagger import Tagger, reconcile
 
 GIVEN, FAMILY = ["Tova", "Tovis", "Miria", "Miris", "Dorva", "Dorvis", "Lunda", "Lundis", "Brena", "Brenis", "Raven"], ["Corvlow", "Corvdale", "Marthlow", "Marthdale", "Jasklow", "Jaskdale", "Selvlow", "Selvdale", "Grintlow", "Grintdale"]
 CASES = [
@@ -33,3 +37,27 @@ def test_distinct_strings_as_they_stand(found, i):
 def test_names_that_the_lexicon_lacks():
     given = like({stem + end for stem in ("tov", "mir", "dorv", "lund", "bren", "saal") for end in ("a", "is", "eth")} - {"tovis"})
     assert given("tovis") and not given("tower")
+
+
+def test_masked_text_and_windows(spark, tmp_path):
+    text = "Mail tova.corvlow@mail.tidal.test now. " + "Nothing to see in this long line of words. " * 400 + "Call +44 (0)20 7946 0186 or write to miria@x-y.example."
+    spark.createDataFrame([(w, "given") for w in GIVEN] + [(w, "family") for w in FAMILY], "name_word string, name_role string").write.parquet(f"{tmp_path}/name_lexicon.parquet")
+    spark.createDataFrame([(1, text, "x"), (2, None, "x"), (3, "", "x")], "doc_id long, text string, kind string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r.masked for r in p10_masked(spark, str(tmp_path)).collect()}
+    assert out[2] is None and out[3] == ""
+    assert out[1] == text.replace("tova.corvlow@mail.tidal.test", "[EMAIL]").replace("+44 (0)20 7946 0186", "[PHONE]").replace("miria@x-y.example", "[EMAIL]")
+
+
+def test_windows_are_reconciled():
+    assert reconcile([(5, 9, 1), (7, 12, 1), (12, 15, 1), (14, 16, 2), (20, 22, 3)]) == [(5, 15, "email"), (20, 22, "id_number")]
+    assert reconcile([]) == []
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(2)
+    own = Tagger.load()
+    e = rng.normal(size=(5, 3, 6)).astype(np.float32) * 3
+    best = own.viterbi(e.copy(), 0.0)
+    for j in range(3):
+        score = lambda path: sum(e[t, j, k] for t, k in enumerate(path)) + sum(own.a[a, b] for a, b in pairwise(path))  # noqa: B023, E731
+        assert tuple(best[:, j]) == max(product(range(6), repeat=5), key=score)
