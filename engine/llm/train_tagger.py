@@ -1,4 +1,4 @@
-"""Trains tagger.npz: python -m engine.llm.train_tagger FOLDER [SECONDS].
+"""Trains tagger.npz: python -m engine.llm.train_tagger FOLDER [SECONDS [FILE]].
 
 Labelled spans: (a) texts made here from templates, with spans whose places are known; (b) at most LABELLED documents of FOLDER, in which the
 patterns of personal.py mark the spans. Every tenth text is held out; the script prints how much of the held-out spans is found. Half of the roles
@@ -205,7 +205,7 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[f
     return loss, {k: v / (t * n) * 20 for k, v in g.items()}
 
 
-def train(folder: str, seconds: float) -> None:
+def train(folder: str, seconds: float, file: str | Path) -> None:
     r, rng = random.Random(7), np.random.default_rng(7)
     data = texts(folder, r)
     held, data = data[::10], [x for i, x in enumerate(data) if i % 10]
@@ -224,8 +224,8 @@ def train(folder: str, seconds: float) -> None:
         mean = loss if mean is None else 0.98 * mean + 0.02 * loss
         if step % 100 == 0:
             print(step, round(past), round(mean, 5), flush=True)
-            np.savez_compressed(Path(__file__).with_name("tagger.npz"), **p)
-    np.savez_compressed(Path(__file__).with_name("tagger.npz"), **p)
+            np.savez_compressed(file, **p)
+    np.savez_compressed(file, **p)
     report(Tagger(p), held)
 
 
@@ -246,4 +246,4 @@ def report(tagger: Tagger, held: list[tuple[np.ndarray, np.ndarray]]) -> None:
 
 
 if __name__ == "__main__":
-    train(sys.argv[1], float(sys.argv[2]) if len(sys.argv) > 2 else 900)
+    train(sys.argv[1], float(sys.argv[2]) if len(sys.argv) > 2 else 900, sys.argv[3] if len(sys.argv) > 3 else Path(__file__).with_name("tagger.npz"))
