@@ -1,14 +1,29 @@
-"""p5: lines of dumped pages that belong to the site, not to the body."""
+"""p5: lines of dumped pages that belong to the site, not to the body.
+
+A page is a tree: the page, its blocks (lines between blank ones), and their lines; entries under the head of a list hang one below the other from
+that head. Each node is furniture or body. Potentials of a line come from its kind, wording and place, those of an edge from what it joins; they
+were fitted on labelled pages (train_furniture.py, furniture.json). Sum-product messages go up and down the tree once, which gives each line's exact
+marginal; lines from one half on are furniture.
+
+Pages are records with a url; null and empty contents have no lines; blank lines are never named; doubled rows change nothing.
+"""
 
 from __future__ import annotations
 
+import json
+import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import cache
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engine.functions.partitions import spread
+
 #: Entries of menus, alone on a line or several of them with separators.
 MENU = set(
     "home|documentation|docs|api reference|api|tutorials|downloads|download|pricing|marketplace|showcase|roadmap|forums|forum|community|support|blog|release notes|log in|login|sign in|sign up|register|search|menu|guides|news|about|about us|contact|careers|jobs|learn|products|solutions|features|store|shop|help|faq|account|my account|profile|partners|events|press|legal|more"
@@ -62,12 +77,15 @@ def is_menu(x: str) -> bool:
     return bool(parts) and all(re.sub(r"\s*[▾▼]$", "", p) in MENU for p in parts)
 
 
-def furniture(content: str) -> list[int]:
-    lines = [x.rstrip("\r") for x in content.split("\n")]
-    texts = [plain(x) for x in lines]
-    fixed = [bool(x) and (is_menu(x) or bool(LINES.fullmatch(x)) or bool(LISTS.fullmatch(x))) for x in texts]
-    found = {i for i, x in enumerate(fixed) if x}
+def fixed_lines(texts: list[str]) -> list[bool]:
+    return [bool(x) and (is_menu(x) or bool(LINES.fullmatch(x)) or bool(LISTS.fullmatch(x))) for x in texts]
+
+
+def list_runs(lines: list[str], texts: list[str], fixed: list[bool]) -> dict[int, tuple[int, bool]]:
+    """For each title-like line that follows the head of a list: that head or the title before it, and whether the run's shape speaks for an entry."""
     key = [re.sub(r"^\d+(?:\.\d+)*[.)]?\s+", "", x).lower() for x in texts]
+    out: dict[int, tuple[int, bool]] = {}
+    found = {i for i, x in enumerate(fixed) if x}
     for i, x in enumerate(texts):
         if not (x and LISTS.fullmatch(x)):
             continue
@@ -81,25 +99,160 @@ def furniture(content: str) -> list[int]:
         else:
             j = len(lines)
         if j == len(lines) or fixed[j]:
-            found.update(run)
+            entries = len(run)
         else:
             # The body follows, and nothing tells the last entries from its first headings unless they come again below. A body begins
             # with one heading or two, a part of it with one or none; lists have two to five entries.
             again = [k for k in run if key[k] in key[k + 1 :]]
             inside = any(texts[k] and k not in found for k in range(i))
             heads = 0 if inside and len(run) <= 2 else 2 if not inside and len(run) >= 7 else 1
-            found.update(run[: run.index(again[-1]) + 1] if again else run[: len(run) - heads])
-    return sorted(n + 1 for n in found)
+            entries = run.index(again[-1]) + 1 if again else max(0, len(run) - heads)
+        found.update(run[:entries])
+        for n, j in enumerate(run):
+            out[j] = (run[n - 1] if n else i, n < entries)
+    return out
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages are the records that have a url."""
+@dataclass
+class Tree:
+    """parent[i] < i of each node; kind of the edge to it; features; line number of line nodes, else 0."""
+
+    parent: list[int] = field(default_factory=lambda: [-1])
+    edge: list[str] = field(default_factory=lambda: [""])
+    features: list[list[str]] = field(default_factory=lambda: [["page"]])
+    line: list[int] = field(default_factory=lambda: [0])
+
+    def add(self, parent: int, edge: str, features: list[str], line: int = 0) -> int:
+        self.parent.append(parent)
+        self.edge.append(edge)
+        self.features.append(features)
+        self.line.append(line)
+        return len(self.parent) - 1
+
+
+def line_kind(line: str, text: str, fixed: bool) -> str:
+    if fixed:
+        return "menu" if is_menu(text) else "head" if LISTS.fullmatch(text) else "phrase"
+    if re.match(r"\s*(?:\d+[.)]|step \d+)", line, re.IGNORECASE) and not is_title(line):
+        return "step"
+    if re.search(r"[;{}]\s*$|^\s*(?://|#include)", line):
+        return "code"
+    return "title" if is_title(line) else "prose"
+
+
+def tree(content: str) -> Tree:
+    lines = [x.rstrip("\r") for x in content.split("\n")]
+    texts = [plain(x) for x in lines]
+    fixed = fixed_lines(texts)
+    listed = list_runs(lines, texts, fixed)
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    place = {i: n for n, i in enumerate(full)}
+    out, node_of, block = Tree(), {}, 0
+    for i, line in enumerate(lines):
+        if not line.strip():
+            block = 0
+            continue
+        if not block:
+            block = out.add(0, "block", ["block", "first" if place[i] == 0 else "later"])
+        kind = line_kind(line, texts[i], fixed[i])
+        n = place[i]
+        features = [f"kind {kind}", f"top {min(n, 8)}", f"bottom {min(len(full) - 1 - n, 8)}", f"words {min(len(line.split()), 12)}"]
+        features += ["stop"] if re.search(r"[.!?。]\s*$", line) else []
+        features += ["digits"] if re.search(r"\d", line) else []
+        features += ["separators"] if re.search(r"[|·•»›←→©▾▼]", line) else []
+        if i in listed:
+            parent, entry = listed[i]
+            features.append(f"entry {entry}")
+            node_of[i] = out.add(node_of.get(parent, block), "entry" if entry else "after", features, i + 1)
+        else:
+            node_of[i] = out.add(block, "line", features, i + 1)
+    return out
+
+
+@dataclass
+class Model:
+    """node: what a feature adds to the score of furniture; edge: for each kind of edge the scores of (parent, child) states body-body to furniture-furniture."""
+
+    node: dict[str, float] = field(default_factory=dict)
+    edge: dict[str, list[float]] = field(default_factory=dict)
+
+    @classmethod
+    def load(cls, path: Path = Path(__file__).with_name("furniture.json")) -> Model:
+        return cls(**json.loads(path.read_text()))
+
+    def messages(self, t: Tree) -> tuple[list[float], list[list[float]]]:
+        """The marginal of furniture at each node, and of each edge's four pairs of states, by one pass up and one down."""
+        n = len(t.parent)
+        own = [math.exp(min(30.0, max(-30.0, sum(self.node.get(f, 0.0) for f in x)))) for x in t.features]
+        pots = {k: [math.exp(x) for x in v] for k, v in self.edge.items()}
+        flat = [1.0] * 4
+        up: list[tuple[float, float]] = [(1.0, x) for x in own]  # product of a node's potential and its children's messages
+        sent: list[tuple[float, float]] = [(1.0, 1.0)] * n
+        for i in range(n - 1, 0, -1):
+            bb, bf, fb, ff = pots.get(t.edge[i], flat)
+            x, y = up[i]
+            m = (bb * x + bf * y, fb * x + ff * y)
+            z = m[0] + m[1]
+            sent[i] = m = (m[0] / z, m[1] / z)
+            p, q = up[t.parent[i]]
+            z = p * m[0] + q * m[1]
+            up[t.parent[i]] = (p * m[0] / z, q * m[1] / z)
+        belief = [(0.0, 0.0)] * n
+        pairs: list[list[float]] = [[0.0] * 4] * n
+        z = up[0][0] + up[0][1]
+        belief[0] = (up[0][0] / z, up[0][1] / z)
+        for i in range(1, n):
+            bb, bf, fb, ff = pots.get(t.edge[i], flat)
+            p, q = belief[t.parent[i]]
+            p, q = p / sent[i][0], q / sent[i][1]
+            x, y = up[i]
+            four = [p * bb * x, p * bf * y, q * fb * x, q * ff * y]
+            z = sum(four)
+            pairs[i] = four = [v / z for v in four]
+            belief[i] = (four[0] + four[2], four[1] + four[3])
+        return [b[1] for b in belief], pairs
+
+
+@cache
+def model() -> Model:
+    return Model.load()
+
+
+def furniture(content: str) -> list[int]:
+    t = tree(content)
+    marginal, _ = model().messages(t)
+    return [n for n, p in zip(t.line, marginal, strict=True) if n and p >= 0.5]
+
+
+def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = spark.read.parquet(f"{sf_dir}/source_records.parquet")
-    pages = records.where(F.get_json_object("metadata", "$.url").isNotNull() & F.col("content").isNotNull()).select("id", "content").distinct()
+    return spread(records.where(F.get_json_object("metadata", "$.url").isNotNull() & (F.length("content") > 0)).select("id", "content").distinct())
+
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [(i, n) for i, content in batch.itertuples(index=False) for n in furniture(content)]
             yield pd.DataFrame(found, columns=["id", "line_no"])
 
-    return pages.mapInPandas(judge, "id string, line_no int").distinct()
+    return pages_of(spark, sf_dir).mapInPandas(judge, "id string, line_no int").distinct()
+
+
+def p5_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, body and without_body of each page: its lines but the furniture, and whether parse_issues names its url."""
+    records = spark.read.parquet(f"{sf_dir}/source_records.parquet")
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"[?#].*$", ""), r"/+$", "")
+    url = F.get_json_object("metadata", "$.url")
+    rows = records.where(url.isNotNull()).select("id", "content", bare(url).alias("url")).distinct()
+    issues = spark.read.parquet(f"{sf_dir}/parse_issues.parquet").where("url is not null").select(bare(F.col("url")).alias("url")).distinct().withColumn("named", F.lit(True))
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bodies = []
+            for content in batch["content"]:
+                gone = set(furniture(content)) if isinstance(content, str) and content else set()
+                bodies.append("\n".join(x for n, x in enumerate(content.split("\n"), 1) if n not in gone).strip() if isinstance(content, str) else None)
+            yield pd.DataFrame({"id": batch["id"], "body": bodies, "without_body": batch["without_body"]})
+
+    joined = rows.join(issues, "url", "left").select("id", "content", F.coalesce("named", F.lit(False)).alias("without_body"))
+    return spread(joined).mapInPandas(keep, "id string, body string, without_body boolean")
