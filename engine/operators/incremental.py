@@ -23,6 +23,19 @@ def successful_runs(runs: DataFrame) -> DataFrame:
     )
 
 
+def latest_inventory(files: DataFrame) -> DataFrame:
+    """path, sha: the latest row of each path, with `/` and the hash in lower case."""
+    last = F.max(F.struct("recorded_at", F.lower("sha256").alias("sha"))).alias("last")
+    return files.where("relative_path is not null").groupBy(F.translate("relative_path", "\\", "/").alias("path")).agg(last).select("path", "last.sha")
+
+
+def diff_inventories(old: DataFrame, new: DataFrame) -> DataFrame:
+    """path, kind (added, modified, deleted, unchanged) of two inventories of path, sha."""
+    both = old.select("path", F.col("sha").alias("old"), F.lit(1).alias("was")).join(new.select("path", F.col("sha").alias("new"), F.lit(1).alias("is")), "path", "full")
+    kind = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "deleted").when(~F.col("old").eqNullSafe(F.col("new")), "modified").otherwise("unchanged")
+    return both.select("path", kind.alias("kind"))
+
+
 def file_changes(inventory: DataFrame, runs: DataFrame) -> DataFrame:
     """A run's inventory against that of the successful run before; each row is joined once as its own run and once as the next run's past."""
     files = inventory.where("run_id is not null and relative_path is not null").groupBy("run_id", F.translate("relative_path", "\\", "/").alias("record_key")).agg(

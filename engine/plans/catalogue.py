@@ -1,6 +1,7 @@
 """Queries of the core and the SQL they are held against."""
 
 from engine.operators.incremental import P2_SQL, p2_found
+from engine.plans import corpus
 
-QUERIES = {"p2_found": p2_found}
-SQL = {"p2_found": P2_SQL}
+QUERIES = {"p2_found": p2_found, **corpus.QUERIES}
+SQL = {"p2_found": P2_SQL, **corpus.SQL}
