@@ -1,6 +1,6 @@
 """p4: the most similar other vectors of each vector, by one-bit codes of randomly rotated residuals.
 
-Vectors get the nearest of K directions, which are fitted on at most SAMPLE of them, and a shell by their angle to it; cells that hold many vectors
+Vectors get the nearest of some directions, which are fitted on bounded samples, and a shell by their angle to it; cells that hold many vectors
 are split into blocks of about BLOCK. First each vector is held against its own block, which bounds the cosine that others must reach. Then it goes
 only to blocks that can hold a vector so near: by the triangle inequality of angles none that counts is left out. Within a block a vector is a code
 of one bit a dimension of its rotated residual and three scalars; these estimate cosines with a bound of error, and only pairs that the bound
@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 from engine.functions.partitions import spread, written
 
 DIM, NEAREST, LEAST = 128, 10, 0.72
-SAMPLE, A_CELL, CELLS, ROUNDS = 20_000, 256, 1024, 6
+#: Directions are fitted on at most SAMPLE vectors, and again on as many of those that lie FAR from all, up to FITS times and CELLS directions.
+SAMPLE, CELLS, FITS, ROUNDS, COVER, FAR = 20_000, 4096, 4, 2, np.radians(40), np.radians(46)
 BLOCK, QUERIES, EPSILON = 2048, 8192, 5.0
 #: Shells end at these angles (degrees) from a cell's direction.
-SHELLS = np.radians([20, 30, 38, 46, 60])
+SHELLS = np.radians([32, 46, 60])
 #: Cosines by floats and angles differ from the exact ones by less.
 SLACK = 2e-6
 
@@ -44,18 +45,21 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return unit(column.flatten().to_numpy(zero_copy_only=False).reshape(-1, DIM))
 
 
-def directions(sample: np.ndarray, k: int) -> np.ndarray:
-    """k unit vectors, by spherical k-means from a fixed start."""
-    rng = np.random.default_rng(11)
+def leaders(sample: np.ndarray, most: int) -> np.ndarray:
+    """Up to `most` unit vectors, so that each of the sample lies within COVER of one: the first that is far from all becomes one; then ROUNDS of means."""
     x = sample.astype(np.float32)
-    c = x[rng.permutation(len(x))[:k]].copy()
+    left, chosen = np.arange(len(x)), []
+    while len(left) and len(chosen) < most:
+        chosen.append(left[0])
+        left = left[x[left] @ x[left[0]] < np.cos(COVER)]
+    c = x[chosen].copy()
     for _ in range(ROUNDS):
         own = np.concatenate([(x[i : i + 4096] @ c.T).argmax(axis=1) for i in range(0, len(x), 4096)])
         order = np.argsort(own, kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(own[order]) > 0])
         sums = np.add.reduceat(x[order], first, axis=0)
         norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
-        c[own[order][first]] = np.where(norm > 1e-6, sums / np.maximum(norm, 1e-6), c[own[order][first]])
+        c = (sums / np.maximum(norm, 1e-6))[norm[:, 0] > 1e-6]
     return c
 
 
@@ -138,6 +142,18 @@ def locate(shared: Broadcast) -> Callable:
     return run
 
 
+def lie_far(shared: Broadcast) -> Callable:
+    """Those vectors that lie FAR from all directions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                _, _, angle = shared.value.place(matrix(batch.column("vector")))
+                yield batch.filter(pa.array(angle > FAR))
+
+    return run
+
+
 def own_block(shared: Broadcast) -> Callable:
     """Each vector of a block with the nearest others in it."""
 
@@ -207,11 +223,15 @@ def similar(table: DataFrame) -> DataFrame:
     whole = spread(usable(table))
     fields = "vec_id long, vector array<float>"
     n = whole.select("vec_id").count()
-    sample = whole.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow() if n else None
+    some = lambda rows: matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow()["vector"])
     if not n:
         return table.sparkSession.createDataFrame([], "vec_id long, other long, cos double")
-    cells = directions(matrix(sample["vector"]), min(CELLS, -(-n // A_CELL), sample.num_rows))
-    index = Index(cells, rotation())
+    index = Index(leaders(some(whole), CELLS), rotation())
+    for _ in range(FITS if n > SAMPLE else 0):
+        far = some(whole.mapInArrow(lie_far(context.broadcast(index)), fields))
+        if len(far) < 0.01 * min(n, SAMPLE) or len(index.cells) >= CELLS:
+            break
+        index.cells = np.concatenate([index.cells, leaders(far, CELLS - len(index.cells))])
     located = written(whole.mapInArrow(locate(context.broadcast(index)), f"{fields}, cell int, shell int, angle double"))
     # at most CELLS times the number of shells
     stats = sorted((r.cell, r.shell, r.n, r.low, r.high) for r in located.groupBy("cell", "shell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect())

@@ -24,7 +24,7 @@ def test_bound_holds_and_recall_is_whole():
     v = neighbours.unit(np.repeat(rng.normal(size=(4, 128)), 500, axis=0) + 0.5 * rng.normal(size=(2000, 128)))
     turn = neighbours.rotation()
     assert np.allclose(turn @ turn.T, np.eye(128), atol=1e-5)
-    direction = neighbours.directions(v, 4)[0]
+    direction = neighbours.leaders(v, 4)[0]
     codes = neighbours.Codes.of(v, direction, turn)
     assert codes.bits.shape == (2000, 16)
     q = v[::50]
