@@ -5,15 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def spread(frame: DataFrame) -> DataFrame:
-    """The frame in at least as many partitions as the cluster has cores. Only inputs of fewer partitions than cores, small ones, are moved."""
+    """The frame in at least as many partitions as the cluster has cores. Only inputs of fewer partitions than cores, small ones, are moved.
+
+    For scans; a frame with a shuffle would be run here to count its partitions (see `distinct`).
+    """
     cores = frame.sparkSession.sparkContext.defaultParallelism
     return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(2 * cores)
 
 
+def distinct(frame: DataFrame) -> DataFrame:
+    """The distinct rows, in as many partitions as the session sets for shuffles, which aren't joined again: for costly work on few bytes. One shuffle."""
+    n = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return frame.repartition(n, *frame.columns).distinct()
+
+
 def shared_folder(frame: DataFrame) -> str:
     """The folder that all executors share, as the session names it; only where none is named, as in tests, a temporary one is made and named."""
     context = frame.sparkSession.sparkContext
@@ -37,3 +46,12 @@ def written(frame: DataFrame) -> DataFrame:
     path = f"{shared_folder(frame)}/engine-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Deletes what `written` has left in the shared folder; for the end of a job."""
+    folder = shared_folder(spark.range(1))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in fs.globStatus(path(f"{folder}/engine-*")) or []:
+        fs.delete(found.getPath(), True)
