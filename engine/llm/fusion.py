@@ -87,7 +87,7 @@ def together(items: DataFrame) -> DataFrame:
     long = lambda frame, *more: frame.select("query_id", *more, F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.col(c).alias("v")) for i, c in enumerate(names)])).alias("x")).select("query_id", *more, "x.s", "x.v")
     levels = long(items).groupBy("query_id", "s", "v").agg(F.count("*").alias("n"))
     bounds = levels.groupBy("query_id", "s").agg(F.percentile_approx("v", F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), 10_000).alias("bounds"))
-    levels = levels.join(F.broadcast(bounds), ["query_id", "s"]).withColumn("bucket", F.size(F.filter("bounds", lambda b: b < F.col("v")))).drop("bounds")
+    levels = levels.join(bounds, ["query_id", "s"]).withColumn("bucket", F.size(F.filter("bounds", lambda b: b < F.col("v")))).drop("bounds")
 
     def betters(frame: DataFrame, of: Column, name: str) -> DataFrame:
         """The sum of `of` over the strictly better levels."""
@@ -96,17 +96,17 @@ def together(items: DataFrame) -> DataFrame:
         above = Window.partitionBy("query_id", "s").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.select("query_id", "s", "bucket", F.coalesce(F.sum("_all").over(above), F.lit(0)).alias("_above"))
         inside = Window.partitionBy("query_id", "s", "bucket").orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)
-        return frame.join(F.broadcast(sums), ["query_id", "s", "bucket"]).withColumn(name, F.col("_above") + F.coalesce(F.sum("_of").over(inside), F.lit(0))).drop("_of", "_above")
+        return frame.join(sums, ["query_id", "s", "bucket"]).withColumn(name, F.col("_above") + F.coalesce(F.sum("_of").over(inside), F.lit(0))).drop("_of", "_above")
 
     levels = cut(betters(levels, F.col("n"), "higher"))
     sizes = items.groupBy("query_id").agg(F.count("*").alias("size"))
-    walk = cut(items.join(F.broadcast(sizes), "query_id").withColumn("walk", 1 / F.col("size")))
+    walk = cut(items.join(sizes, "query_id").withColumn("walk", 1 / F.col("size")))
     for _ in range(STEPS):
         mass = long(walk, "walk").groupBy("query_id", "s", "v").agg(F.sum("walk").alias("mass"))
         # what a level gives to each better item; the worse levels' gifts are all gifts but those of the level and its betters
         given = levels.join(mass, ["query_id", "s", "v"]).withColumn("gift", F.when(F.col("higher") > 0, F.col("mass") / F.col("higher")).otherwise(0.0))
         totals = given.groupBy("query_id", "s").agg(F.sum("gift").alias("gifts"), F.sum(F.when(F.col("higher") == 0, F.col("mass")).otherwise(0.0)).alias("lost"))
-        into = betters(given, F.col("gift"), "_better").join(F.broadcast(totals), ["query_id", "s"])
+        into = betters(given, F.col("gift"), "_better").join(totals, ["query_id", "s"])
         into = into.select("query_id", "s", "v", (F.col("gifts") - F.col("_better") - F.col("gift")).alias("into"), "lost")
         new = long(walk, "chunk_id", "size").join(into, ["query_id", "s", "v"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("into") + F.col("lost") / F.col("size")).alias("new"))
         walk = cut(walk.join(new, ["query_id", "chunk_id"]).withColumn("walk", F.lit(DAMPING / len(names)) * F.col("new") + (1 - DAMPING) / F.col("size")).drop("new"))
@@ -117,11 +117,11 @@ def rank_walk(results: DataFrame, large: int = LARGE) -> DataFrame:
     """query_id, chunk_id and walk, from results with query_id, chunk_id and SCORES."""
     rows = results.where("query_id is not null and chunk_id is not null").select("query_id", "chunk_id", *SCORES)
     items = rows.groupBy("query_id", "chunk_id").agg(*[F.max(F.nanvl(value(c).cast("double"), F.lit(None))).alias(c) for c, value in SCORES.items()])
-    # at most one query in `large` rows
-    hot = [r.query_id for r in rows.groupBy("query_id").count().where(F.col("count") > large).toLocalIterator()]
-    small = items.where(~F.col("query_id").isin(hot)) if hot else items
+    hot = rows.groupBy("query_id").count().where(F.col("count") > large).select("query_id")
+    some = not hot.isEmpty()
+    small = items.join(hot, "query_id", "left_anti") if some else items
     walked = small.repartition("query_id").sortWithinPartitions("query_id").mapInPandas(walks, "query_id long, chunk_id string, walk double")
-    return walked.unionByName(together(items.where(F.col("query_id").isin(hot)))) if hot else walked
+    return walked.unionByName(together(items.join(hot, "query_id", "left_semi"))) if some else walked
 
 
 def best(walked: DataFrame, top: int = TOP) -> DataFrame:

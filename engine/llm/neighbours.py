@@ -246,8 +246,8 @@ def similar(table: DataFrame) -> DataFrame:
     # a block that many vectors are sent to is held against QUERIES of them at a time; the counts are one number a block
     loads = own.select("vec_id", "vector", "block", "reach").mapInArrow(route(shared), f"{fields}, reach double, block int").groupBy("block").count()
     loads = loads.select("block", F.ceil(F.col("count") / QUERIES).cast("int").alias("shards")).persist()
-    queries = sent.join(F.broadcast(loads), "block").withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("shards")).cast("int"))
-    data = blocked.join(F.broadcast(loads), "block").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    queries = sent.join(loads, "block").withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("shards")).cast("int"))
+    data = blocked.join(loads, "block").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     far = queries.select("vec_id", "vector", "reach", "block", "shard").groupBy("block", "shard").cogroup(data.select("vec_id", "vector", "cell", "block", "shard").groupBy("block", "shard")).applyInArrow(other_block(shared), "vec_id long, other long, cos double")
     close = own.select("vec_id", F.explode(F.arrays_zip("others", "cosines")).alias("x")).select("vec_id", F.col("x.others").alias("other"), F.col("x.cosines").alias("cos"))
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("cos"), "other"))

@@ -135,7 +135,7 @@ def not_by_hand(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(found, columns=["relative_path", "path", "reasons", "digest", "seed"]).astype({"digest": "Int64"})
 
     judged = written(rows.mapInPandas(judge, "relative_path string, path string, reasons array<string>, digest long, seed boolean"))
-    leaves = judged.groupBy("path").agg(F.max("digest").alias("digest"), F.max("seed").alias("seed")).withColumn("repo", repository(F.col("path")))
+    leaves = written(judged.groupBy("path").agg(F.max("digest").alias("digest"), F.max("seed").alias("seed")).withColumn("repo", repository(F.col("path"))))
     nodes = written(trees(leaves).where("digest is not null"))
     shared = nodes.groupBy("digest").agg(F.max("seed").alias("seed"), F.min("repo").alias("one"), F.max("repo").alias("other")).where("seed and one <> other").select("digest")
     copies = nodes.join(shared, "digest").select("path")
