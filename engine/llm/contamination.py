@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from engine.functions.partitions import spread
 
 WORDS, GRAM, ITEMS = 12, 5, 20_000
-MATCH, MISMATCH, GAP, SLACK = 2, -1, -1, 8
+MATCH, MISMATCH, GAP, SLACK, PAIRS = 2, -1, -1, 8, 256
 #: Alignments below this score aren't reported.
 LEAST_SCORE = 16
 TAG = re.compile(r"</?[a-z][^<>]{0,200}>")
@@ -96,25 +96,37 @@ class Items:
         return out
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """The best local alignment's score, and the longest run of equal words; words with id 0 equal none."""
-    column = np.arange(len(b) + 1) * GAP
-    score, run = np.zeros(len(b) + 1, np.int32), np.zeros(len(b) + 1, np.int32)
-    best, longest = 0, 0
-    for x in a.tolist():
-        same = b == x if x else np.zeros(len(b), bool)
-        new = np.zeros_like(score)
-        np.maximum(score[:-1] + np.where(same, MATCH, MISMATCH), score[1:] + GAP, out=new[1:])
-        np.maximum(new, 0, out=new)
-        score = np.maximum.accumulate(new - column) + column  # gaps along b
-        run[1:] = np.where(same, run[:-1] + 1, 0)
-        best, longest = max(best, int(score.max())), max(longest, int(run.max()))
-    return best, longest
-
-
-def leaks(items: Items, keys: np.ndarray, places: list[list[tuple[int, int]]], text: str) -> dict[int, tuple[int, int]]:
-    """For each item that has a seed in the text, the best score and the longest run."""
-    found: dict[int, tuple[int, int]] = {}
+def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """Of each pair the best local alignment's score, and the longest run of equal words; words with id 0 equal none. PAIRS of like sizes are aligned together."""
+    out: list[tuple[int, int]] = [(0, 0)] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][1]), len(pairs[i][0])))
+    for at in range(0, len(order), PAIRS):
+        part = order[at : at + PAIRS]
+        rows, width = max(len(pairs[i][0]) for i in part), max(len(pairs[i][1]) for i in part)
+        a, b = np.full((len(part), rows), -1, np.int32), np.zeros((len(part), width), np.int32)
+        for k, i in enumerate(part):
+            a[k, : len(pairs[i][0])], b[k, : len(pairs[i][1])] = pairs[i]
+        a[a == 0] = -1
+        column = (np.arange(width + 1) * GAP).astype(np.int32)
+        score, run = np.zeros((len(part), width + 1), np.int32), np.zeros((len(part), width + 1), np.int32)
+        best, longest = np.zeros(len(part), np.int32), np.zeros(len(part), np.int32)
+        for j in range(rows):
+            same = b == a[:, j, None]
+            new = np.zeros_like(score)
+            np.maximum(score[:, :-1] + np.where(same, MATCH, MISMATCH).astype(np.int32), score[:, 1:] + GAP, out=new[:, 1:])
+            np.maximum(new, 0, out=new)
+            score = np.maximum.accumulate(new - column, axis=1) + column  # gaps along b
+            run[:, 1:] = (run[:, :-1] + 1) * same
+            np.maximum(best, score.max(axis=1), out=best)
+            np.maximum(longest, run.max(axis=1), out=longest)
+        for k, i in enumerate(part):
+            out[i] = int(best[k]), int(longest[k])
+    return out
+
+
+def regions(items: Items, keys: np.ndarray, places: list[list[tuple[int, int]]], text: str) -> list[tuple[int, np.ndarray]]:
+    """The items' texts that have a seed in the text, each with the words around where it can stand."""
+    found: list[tuple[int, np.ndarray]] = []
     for ids in items.ids(text):
         own = grams(ids)
         at = np.flatnonzero(own)
@@ -122,21 +134,17 @@ def leaks(items: Items, keys: np.ndarray, places: list[list[tuple[int, int]]], t
             continue
         spot = np.searchsorted(keys, own[at]).clip(max=len(keys) - 1)
         hits = keys[spot] == own[at]
-        regions: dict[int, list[list[int]]] = {}
+        spans: dict[int, list[list[int]]] = {}
         for p, k in zip(at[hits].tolist(), spot[hits].tolist(), strict=True):
             for n, q in places[k]:
                 size = len(items.texts[n])
                 lo, hi = max(0, p - q - SLACK), p + size - q + SLACK
-                own_regions = regions.setdefault(n, [])
-                if own_regions and lo <= own_regions[-1][1]:
-                    own_regions[-1][1] = max(hi, own_regions[-1][1])
+                before = spans.setdefault(n, [])
+                if before and lo <= before[-1][1]:
+                    before[-1][1] = max(hi, before[-1][1])
                 else:
-                    own_regions.append([lo, hi])
-        for n, spans in regions.items():
-            for lo, hi in spans:
-                score, run = align(items.texts[n], ids[lo:hi])
-                s, r = found.get(items.owners[n], (0, 0))
-                found[items.owners[n]] = max(s, score), max(r, run)
+                    before.append([lo, hi])
+        found += [(n, ids[lo:hi]) for n, own_spans in spans.items() for lo, hi in own_spans]
     return found
 
 
@@ -174,8 +182,10 @@ def block_leaks(documents: DataFrame, items: Items) -> DataFrame:
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items, keys, places = shared.value
         for batch in batches:
-            found = [(item, doc, *x) for doc, text in zip(batch["doc_id"], batch["text"], strict=True) if len(keys) for item, x in leaks(items, keys, places, text).items()]
-            yield pd.DataFrame(found, columns=["item_id", "doc_id", "score", "run"])
+            tasks = [(doc, *x) for doc, text in zip(batch["doc_id"], batch["text"], strict=True) if len(keys) for x in regions(items, keys, places, text)]
+            scores = align([(items.texts[n], words) for _, n, words in tasks])
+            found = pd.DataFrame([(items.owners[n], doc, *x) for (doc, n, _), x in zip(tasks, scores, strict=True)], columns=["item_id", "doc_id", "score", "run"])
+            yield found.groupby(["item_id", "doc_id"], as_index=False).max()
 
     return texts.mapInPandas(judge, "item_id long, doc_id long, score int, run int")
 

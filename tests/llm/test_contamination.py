@@ -47,7 +47,8 @@ def test_alignment_is_smith_waterman(a, b):
             same = x == y != 0
             h[i][j] = max(0, h[i - 1][j - 1] + (MATCH if same else MISMATCH), h[i - 1][j] + GAP, h[i][j - 1] + GAP)
             run[i][j] = run[i - 1][j - 1] + 1 if same else 0
-    assert align(np.array(a, np.int32), np.array(b, np.int32)) == (max(map(max, h)), max(map(max, run)))
+    pairs = [(np.array(x, np.int32), np.array(y, np.int32)) for x, y in ((a, b), (a[:1], b), ([9] * 20, [9] * 7))]
+    assert align(pairs)[0] == (max(map(max, h)), max(map(max, run))) and align(pairs)[2] == (14, 7) and align([]) == []
 
 
 def test_words_of_very_long_and_odd_texts():
