@@ -16,7 +16,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from engine.functions.partitions import spread
+from engine.functions.partitions import distinct
 
 #: Comments and literals, in the order in which they hide one another.
 TOKEN = re.compile(r'(?P<line>//[^\n]*)|(?P<block>/\*.*?(?:\*/|\Z))|R"(?P<d>[^()\\\s]{0,16})\(.*?(?:\)(?P=d)"|\Z)|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])+\'', re.DOTALL)
@@ -214,7 +214,7 @@ def described(content: str) -> set[str]:
 
 def texts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/chunks.parquet").where("source_type is null or source_type like '%source'")
-    return spread(rows.where("content like '%//%' or content like '%/*%'").select("id", "content").distinct())
+    return distinct(rows.where("content like '%//%' or content like '%/*%'").select("id", "content"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
