@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engine.functions.partitions import spread
+from engine.functions.partitions import distinct
 from engine.llm.boilerplate import without_repeats
 
 TAGS = (
@@ -164,7 +164,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = F.explode(F.array(*[F.struct(F.lit(x).alias("field"), F.col(x).alias("value")) for x in ("content", "title")])).alias("x")
-    fields = spread(records(spark, sf_dir).select("id", both).select("id", "x.*").where("length(value) > 0").distinct())
+    fields = distinct(records(spark, sf_dir).select("id", both).select("id", "x.*").where("length(value) > 0"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -176,7 +176,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, title and content of each record without marks, and pages without the runs that their host repeats."""
-    rows = records(spark, sf_dir).select("id", "title", "content", F.parse_url(F.get_json_object("metadata", "$.url"), F.lit("HOST")).alias("host")).distinct()
+    rows = records(spark, sf_dir).select("id", "title", "content", F.parse_url(F.get_json_object("metadata", "$.url"), F.lit("HOST")).alias("host"))
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -184,7 +184,7 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
                 batch[c] = [convert(x)[0] if isinstance(x, str) else None for x in batch[c]]
             yield batch
 
-    texts = spread(rows).mapInPandas(clean, "id string, title string, content string, host string")
+    texts = distinct(rows).mapInPandas(clean, "id string, title string, content string, host string")
     pages = without_repeats(texts.where("host is not null and length(content) > 0"))
     rest = texts.where("host is null or content is null or length(content) = 0").select("id", "title", "content")
     return rest.unionByName(pages.select("id", "title", "content"))
