@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engine.functions.partitions import spread
+from engine.functions.partitions import distinct
 
 #: Entries of menus, alone on a line or several of them with separators.
 MENU = set(
@@ -226,7 +226,7 @@ def furniture(content: str) -> list[int]:
 
 def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = spark.read.parquet(f"{sf_dir}/source_records.parquet")
-    return spread(records.where(F.get_json_object("metadata", "$.url").isNotNull() & (F.length("content") > 0)).select("id", "content").distinct())
+    return distinct(records.where(F.get_json_object("metadata", "$.url").isNotNull() & (F.length("content") > 0)).select("id", "content"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +243,7 @@ def p5_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = spark.read.parquet(f"{sf_dir}/source_records.parquet")
     bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"[?#].*$", ""), r"/+$", "")
     url = F.get_json_object("metadata", "$.url")
-    rows = records.where(url.isNotNull()).select("id", "content", bare(url).alias("url")).distinct()
+    rows = distinct(records.where(url.isNotNull()).select("id", "content", bare(url).alias("url")))
     issues = spark.read.parquet(f"{sf_dir}/parse_issues.parquet").where("url is not null").select(bare(F.col("url")).alias("url")).distinct().withColumn("named", F.lit(True))
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -255,4 +255,4 @@ def p5_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame({"id": batch["id"], "body": bodies, "without_body": batch["without_body"]})
 
     joined = rows.join(issues, "url", "left").select("id", "content", F.coalesce("named", F.lit(False)).alias("without_body"))
-    return spread(joined).mapInPandas(keep, "id string, body string, without_body boolean")
+    return joined.mapInPandas(keep, "id string, body string, without_body boolean")
