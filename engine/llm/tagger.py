@@ -87,18 +87,21 @@ class Tagger:
     def viterbi(self, e: np.ndarray, lean: float = LEAN) -> np.ndarray:
         """The best tags, (T, B), of emissions (T, B, TAGS), which are leant towards spans."""
         t, n, _ = e.shape
-        e[:, :, 0] -= lean
-        back = np.empty((t, n, TAGS), np.int8)
+        e = np.ascontiguousarray(e.transpose(0, 2, 1))  # long runs of memory along the batch
+        e[:, 0] -= lean
+        back = np.empty((t, TAGS, n), np.int8)
+        a = self.a[:, :, None]
         score = e[0]
         for i in range(1, t):
-            s = score[:, :, None] + self.a[None]
-            back[i] = s.argmax(axis=1)
-            score = s.max(axis=1) + e[i]
+            s = score[:, None] + a
+            back[i] = s.argmax(axis=0)
+            score = s.max(axis=0)
+            score += e[i]
         tags = np.empty((t, n), np.int8)
-        tags[-1] = score.argmax(axis=1)
+        tags[-1] = score.argmax(axis=0)
         rows = np.arange(n)
         for i in range(t - 1, 0, -1):
-            tags[i - 1] = back[i, rows, tags[i]]
+            tags[i - 1] = back[i, tags[i], rows]
         return tags
 
     def spans(self, inputs: list[np.ndarray]) -> list[list[tuple[int, int, str]]]:
