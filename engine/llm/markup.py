@@ -25,13 +25,44 @@ TAGS = (
     " nav ol option p pre q s samp script section select small span strike strong style sub summary sup table tbody td textarea tfoot th thead title tr tt u ul var video wbr nowiki ref"
 )
 TAG = rf"</?(?:{'|'.join(TAGS.split())})(?:\s+[\w:-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s<>\"']+))?)*\s*/?>"
+class Paired:
+    """Stretches from an opening to its closing mark, in time linear in the text: what a closing mark wasn't found for once isn't looked for again."""
+
+    def __init__(self, opening: str, closing: str, flags: int = re.IGNORECASE) -> None:
+        self.opening, self.closing, self.flags = re.compile(opening, flags), closing, flags
+
+    def spans(self, text: str) -> Iterator[tuple[int, int]]:
+        closing: dict[str, re.Pattern | None] = {}
+        at = 0
+        while m := self.opening.search(text, at):
+            at = m.end()
+            name = m[1] if self.opening.groups else ""
+            if name not in closing:
+                closing[name] = re.compile(self.closing.replace("NAME", re.escape(name)), self.flags)
+            if closing[name] and (end := closing[name].search(text, at)):
+                at = end.end()
+                yield m.start(), at
+            else:
+                closing[name] = None
+
+    def search(self, text: str) -> tuple[str] | None:
+        return next(((text[a:b],) for a, b in self.spans(text)), None)
+
+    def sub(self, put: Callable[[tuple[str]], str], text: str) -> str:
+        out, at = [], 0
+        for a, b in self.spans(text):
+            out += [text[at:a], put((text[a:b],))]
+            at = b
+        return "".join([*out, text[at:]])
+
+
 #: Code blocks and spans, with the family of their own marks; what they hold is no mark.
 BLOCKS = [
-    ("markdown", re.compile(r"^[ >\t]*(`{3,}|~{3,})[^\n`]*\n.*?(?:^[ >\t]*\1[`~]*[ \t]*$|\Z)", re.DOTALL | re.MULTILINE)),
-    ("html", re.compile(r"<(pre|code|script|style|samp|kbd|tt)\b[^<>]*>.*?</\1\s*>", re.DOTALL | re.IGNORECASE)),
-    ("wiki", re.compile(r"<(nowiki|syntaxhighlight|source)\b[^<>]*>.*?</\1\s*>", re.DOTALL | re.IGNORECASE)),
-    ("wiki", re.compile(r"\{\{Code(?:Block|Start|Begin)?\b[^{}]*\}\}.*?\{\{Code(?:Block)?End\}\}", re.DOTALL | re.IGNORECASE)),
-    ("latex", re.compile(r"\\begin\{(verbatim\*?|lstlisting|minted|Verbatim|alltt)\}.*?\\end\{\1\}", re.DOTALL)),
+    ("markdown", re.compile(r"^[ >\t]*(`{3,}+|~{3,}+)[^\n`]*+\n.*?(?:^[ >\t]*\1[`~]*[ \t]*$|\Z)", re.DOTALL | re.MULTILINE)),
+    ("html", Paired(r"<(pre|code|script|style|samp|kbd|tt)\b[^<>]*>", r"</NAME\s*>")),
+    ("wiki", Paired(r"<(nowiki|syntaxhighlight|source)\b[^<>]*>", r"</NAME\s*>")),
+    ("wiki", Paired(r"\{\{Code(?:Block|Start|Begin)?\b[^{}]*\}\}", r"\{\{Code(?:Block)?End\}\}")),
+    ("latex", Paired(r"\\begin\{(verbatim\*?|lstlisting|minted|Verbatim|alltt)\}", r"\\end\{NAME\}", 0)),
     ("latex", re.compile(r"\\(?:verb\*?|lstinline)([|!+/#@])[^\n]*?\1")),
     ("markdown", re.compile(r"(?<![`\\])(`{1,2})(?![`\s])[^`\n]*?[^`\s]\1(?!`)")),
 ]

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -40,6 +42,13 @@ def test_converted_texts_hold_few_marks(spark):
     assert marked and len(left) <= 0.4 * len(marked)  # code that stays may hold marks of its own
 
 
+def test_open_marks_take_linear_time():
+    for unit in ("~", "<pre>", "<code>x</pre>", "{{CodeBlock}}", "\\begin{verbatim}", "```\n", "[a](", "'" * 5, "$a", "<!--", "{{a"):
+        began = time.perf_counter()
+        convert(unit * (50_000 // len(unit)))
+        assert time.perf_counter() - began < 8, unit
+
+
 def test_repeated_runs_go_and_others_stay(spark, monkeypatch):
     menu, foot = "Home Docs Forum Blog Shop Help Login News Jobs About", "All rights are reserved by the owner of this small site"
     body = lambda i: " ".join(f"w{i}_{k}" for k in range(30))
