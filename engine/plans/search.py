@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from engine.functions.partitions import spread
 from engine.functions.text import index_tokens
 from engine.functions.vectors import finite, l2_normalize, norm
 from engine.operators import retrieval as r
@@ -39,7 +40,7 @@ def terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text")
+    return spread(table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text"))
 
 
 PLAIN = "translate(regexp_replace(lower({}), '[\\x{{300}}-\\x{{36f}}]', '', 'g'), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
