@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -48,6 +49,12 @@ def written(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Asks the driver to collect its garbage, so that executors delete the shuffle files of frames that are written and dropped; else they stay as long as it has memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear_written(spark: SparkSession) -> None:
     """Deletes what `written` has left in the shared folder; for the end of a job."""
     folder = shared_folder(spark.range(1))

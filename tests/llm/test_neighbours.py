@@ -1,4 +1,7 @@
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 
 from engine.llm import neighbours
 
@@ -50,3 +53,43 @@ def test_one_vector_and_copies(spark):
     copies = spark.createDataFrame([(i, x, "extra") for i in range(15)], "vec_id long, vector array<float>, block string")
     found = {(r.vec_id, r.other) for r in neighbours.similar(copies).collect()}
     assert found == {(i, j) for i in range(15) for j in [k for k in range(15) if k != i][:10]}
+
+
+def test_batches_sent_on_stay_small_however_many_blocks():
+    rng = np.random.default_rng(7)
+    v = neighbours.unit(np.eye(128)[:1] + 0.01 * rng.normal(size=(512, 128))).astype(np.float32)
+    index = neighbours.Index(np.eye(128, dtype=np.float32)[:1], neighbours.rotation(), np.array([[0, 0, 400, 0, 0.5]]))
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(513, dtype=np.int32) * 128), pa.array(v.ravel()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(512)), vectors, pa.array(np.full(512, 0.72)), pa.array(np.zeros(512, np.int32))], names=["vec_id", "vector", "reach", "block"])
+    sizes = [x.num_rows for x in neighbours.route(SimpleNamespace(value=index))([batch])]
+    assert sum(sizes) == 512 * 399
+    assert max(sizes) <= 10_000
+
+
+def test_pool_and_split_cells_lose_no_pair(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = np.repeat(rng.normal(size=(40, 128)), 4, axis=0) + 0.4 * rng.normal(size=(160, 128))
+    v = np.concatenate([v, rng.normal(size=(1, 128)) + 0.1 * rng.normal(size=(60, 128))]).astype(np.float32)
+    x = neighbours.unit(v)
+    s = (x @ x.T).round(12)
+    expected = {(i, j) for i in range(220) for _, j in sorted((-s[i, j], j) for j in range(220) if j != i and s[i, j] >= 0.72)[:10]}
+    for name, value in {"CELLS": 3, "BLOCK": 15, "QUERIES": 12, "ROWS": 8, "TILE": 64}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    index = neighbours.Index(neighbours.leaders(x, 3), neighbours.rotation())
+    cell, _, _ = index.place(x)
+    assert 0 < (cell == 3).sum() < 220
+    found = neighbours.similar(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, vector array<float>")).collect()
+    assert {(r.vec_id, r.other) for r in found} == expected
+    assert len(found) == len(expected)
+
+
+def test_pairs_that_codes_leave_open_are_asked_by_floats(monkeypatch):
+    rng = np.random.default_rng(4)
+    v = neighbours.unit(rng.normal(size=(1, 128)) + 0.2 * rng.normal(size=(700, 128)))
+    ids, turn = np.arange(700)[::-1].copy(), neighbours.rotation()
+    direction = neighbours.leaders(v, 1)[0]
+    monkeypatch.setattr(neighbours, "TILE", 70_000)
+    r, other, _ = neighbours.nearest(v, ids, v, ids, neighbours.Codes.of(v, direction, turn), direction, turn, np.full(700, 0.72))
+    s = (v @ v.T).round(12)
+    np.fill_diagonal(s, -2)
+    assert set(zip(r.tolist(), other.tolist(), strict=True)) == {(i, int(ids[j])) for i in range(700) for j in np.lexsort((ids, -s[i]))[:10]}
